@@ -87,12 +87,14 @@ def schema_changes(records: DataFrame) -> DataFrame:
     was = fields.select("dataset", (F.col("file_seq") + 1).alias("file_seq"), F.coalesce("list_key", F.lit("")).alias("_l"), F.col("list_key").isNull().alias("_own"), "key", F.lit(True).alias("_was"), F.col("prevailing").alias("old_kind"))
     on = ["dataset", "file_seq", "_own", "_l", "key"]
     both = now.join(was, on, "full").join(pairs, ["dataset", "file_seq"], "left_semi")
-    comparable = both.where("_own").unionByName(both.where(~F.col("_own")).join(kept_lists.withColumnRenamed("list_key", "_l"), ["dataset", "file_seq", "_l"], "left_semi"))
+    kept_lists = kept_lists.select("dataset", "file_seq", F.col("list_key").alias("_l"), F.lit(True).alias("_kept"))
+    # the table of differences is small beside the records; written once, it keeps the plans below short
+    comparable = cut(both.join(kept_lists, ["dataset", "file_seq", "_l"], "left").where(F.col("_own") | F.col("_kept")).drop("_kept"))
     of_old = F.coalesce(*[F.when(F.col("old_kind") == k, F.col(f"_n_{k}")) for k in KINDS])
     retyped = comparable.where(F.col("_now") & F.col("_was") & F.col("old_kind").isNotNull() & (2 * (F.col("_n") - of_old) > F.col("_n")))
     gone = comparable.where(F.col("_now").isNull()).select(*on[:4], F.col("key").alias("old_key"), F.col("old_kind"))
     new = comparable.where(F.col("_was").isNull()).select(*on[:4], F.col("key").alias("new_key"), F.col("new_kind"))
-    renamed = _renamings(values, gone, new)
+    renamed = cut(_renamings(values, gone, new))
 
     def shaped(df: DataFrame, key: str, kind: str, old: Column | None = None) -> DataFrame:
         label = F.when(F.col("_own"), F.col(key)).otherwise(_label(F.col("_l"), F.col(key)))
