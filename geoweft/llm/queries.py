@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, confusables, mixing, top_n
+from geoweft.llm import addresses, bpe, confusables, mixing, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,15 @@ def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
 def p8_report(spark: SparkSession, directory: str) -> DataFrame:
     """Target and reached share of every source."""
     return mixing.mix(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))[1]
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of records whose addresses denote one location."""
+    return addresses.same_location(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
+
+
+@query("p4_resolved")
+def p4_resolved(spark: SparkSession, directory: str) -> DataFrame:
+    """The location that every address record denotes."""
+    return addresses.resolve(addresses.address_records(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output")))
