@@ -112,7 +112,8 @@ def _localities(parsed: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """record_id, locality, street, number, unit of every record: the location it denotes.
+    """record_id, locality, street, number, unit of every record: the location it denotes; of a record without address the
+    locality alone, with the rest null.
 
     1. Every address is read in one or more ways. 2. Its locality is found. 3. Street words that are near a far more usual
     word are clustered with it; the usual spellings with their directions and types are the gazetteer of a locality, an entry
@@ -121,8 +122,8 @@ def resolve(records: DataFrame) -> DataFrame:
     fetched readings, edits and missing parts cost; the cheapest hypothesis wins, ties by support, then by text. Where
     several entries complete a writing it denotes a street of its own.
 
-    Addresses without locality, street words or number denote a location of their own, known by all that is written: two of
-    them are equal only if written alike up to spelling variants of types, directions and case.
+    An address whose locality nothing tells is in the locality '?' of all of these; one without a number has the number ''.
+    So such addresses are equal only among each other, and only if street, number and unit are.
     """
     parsed = cut(_localities(records.select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude")).select("record_id", F.coalesce("locality", F.lit("?")).alias("locality"), F.col("p.readings").alias("readings")))
     words = parsed.select(F.explode(F.get("readings", F.lit(0))["words"]).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -163,13 +164,13 @@ def resolve(records: DataFrame) -> DataFrame:
     street = F.when(one, F.concat_ws(" ", F.col("fit")[0]["direction"], F.col("name"), F.col("fit")[0]["type"])).otherwise(F.concat_ws(" ", F.lit("?"), direction, "name", type_))
     missing = F.when(one, (F.col("fit")[0]["direction"] != direction).cast("int") * 0.2 + (F.col("fit")[0]["type"] != type_).cast("int") * 0.2).when(F.size("fit") > 1, F.lit(0.6)).otherwise(F.lit(3.0))
     best = found.groupBy("record_id", "locality").agg(F.min(F.struct((F.col("paid") + missing).alias("total"), (-F.col("support")).alias("s"), street.alias("street"), "number", "unit")).alias("b"))
-    told = best.select("record_id", F.when((F.col("locality") != "?") & (F.col("b.number") != ""), F.col("locality")).alias("locality"), F.col("b.street").alias("street"), F.col("b.number").alias("number"), F.col("b.unit").alias("unit"))
-    return told.withColumn("locality", F.coalesce("locality", F.lit("?")))
+    told = best.select("record_id", F.col("b.street").alias("street"), F.col("b.number").alias("number"), F.col("b.unit").alias("unit"))
+    return parsed.select("record_id", "locality").join(told, "record_id", "left")
 
 
 def same_location(users: DataFrame, linked: DataFrame) -> DataFrame:
     """(record_id_1, record_id_2), record_id_1 < record_id_2: all pairs of records that denote one location."""
-    at = cut(resolve(address_records(users, linked)).select(F.xxhash64("locality", "street", "number", "unit").alias("_k"), "locality", "street", "number", "unit", "record_id"))
+    at = cut(resolve(address_records(users, linked)).where(F.col("street").isNotNull()).select(F.xxhash64("locality", "street", "number", "unit").alias("_k"), "locality", "street", "number", "unit", "record_id"))
     a = at.select(*[F.col(c).alias(f"_{c}") for c in at.columns if c not in ("_k", "record_id")], "_k", F.col("record_id").alias("record_id_1"))
     b = at.withColumnRenamed("record_id", "record_id_2")
     same = (a["_k"] == b["_k"]) & (F.col("_locality") == F.col("locality")) & (F.col("_street") == F.col("street")) & (F.col("_number") == F.col("number")) & (F.col("_unit") == F.col("unit")) & (F.col("record_id_1") < F.col("record_id_2"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import addresses, bpe, confusables, mixing, top_n
+from geoweft.llm import addresses, bpe, confusables, entity_match, mixing, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The place of every record that has one."""
+    links = entity_match.match_entities(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
+    return entity_match.best_links(links).select("record_id", "gers_id")
+
+
+@query("p2_links")
+def p2_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Every candidate link with its marginal probability."""
+    return entity_match.match_entities(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
+
+
 @query(
     "p5_found",
     """
