@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import addresses, bpe, confusables, entity_match, mixing, top_n
+from geoweft.llm import addresses, bpe, confusables, entity_match, mixing, pii, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,15 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 def p4_resolved(spark: SparkSession, directory: str) -> DataFrame:
     """The location that every address record denotes."""
     return addresses.resolve(addresses.address_records(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output")))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Every place of personal information."""
+    return pii.pii_places(table(spark, directory, "documents"), table(spark, directory, "given_names"))
+
+
+@query("p9_redacted")
+def p9_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.redacted(table(spark, directory, "documents"), table(spark, directory, "given_names"))
