@@ -182,21 +182,27 @@ def _given(names: DataFrame) -> frozenset[str]:
     return frozenset(r.g for r in rows)
 
 
-def _model_on_executors(names: DataFrame):
+def _broadcast_model(names: DataFrame):
     """Trains on the driver and sends the weights to the tasks: their size is bounded by the labelled table."""
     given = _given(names)
     model = trained(given)
     weights = (model.index, model.weights.astype(np.float32), model.transitions, model.start)
-    sent = names.sparkSession.sparkContext.broadcast((given, weights))
+    return names.sparkSession.sparkContext.broadcast((given, weights))
 
-    @lru_cache(1)
-    def restore() -> Crf:
-        g, (index, w, transitions, start) = sent.value
-        crf = Crf(LABELS, word_features(g))
-        crf.index, crf.weights, crf.transitions, crf.start = index, w.astype(float), transitions, start
-        return crf
 
-    return restore
+_restored: dict[int, Crf] = {}
+
+
+def _restore(sent) -> Crf:
+    """The model in a Python worker, built once from the broadcast weights."""
+    key = sent.id if hasattr(sent, "id") else id(sent)
+    if key not in _restored:
+        given, (index, weights, transitions, start) = sent.value
+        crf = Crf(LABELS, word_features(given))
+        crf.index, crf.weights, crf.transitions, crf.start = index, weights.astype(float), transitions, start
+        _restored.clear()
+        _restored[key] = crf
+    return _restored[key]
 
 
 def pii_places(documents: DataFrame, given_names: DataFrame) -> DataFrame:
@@ -205,10 +211,10 @@ def pii_places(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     Null, empty and white texts hold none. Texts of any length are read whole. Rows of documents that share a doc_id are
     read one by one. An empty table of given names takes a feature away and nothing else.
     """
-    restore = _model_on_executors(given_names)
+    sent = _broadcast_model(given_names)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = restore()
+        model = _restore(sent)
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
@@ -230,11 +236,11 @@ def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
 
 def redacted(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """doc_id and the text with a typed placeholder for each place; null for null. All else stays as it is."""
-    restore = _model_on_executors(given_names)
+    sent = _broadcast_model(given_names)
 
     @F.pandas_udf(T.StringType())
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = restore()
+        model = _restore(sent)
         for texts in batches:
             parts = []
             for lo in range(0, len(texts), 200):
