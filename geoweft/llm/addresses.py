@@ -125,7 +125,8 @@ def resolve(records: DataFrame) -> DataFrame:
     An address whose locality nothing tells is in the locality '?' of all of these; one without a number has the number ''.
     So such addresses are equal only among each other, and only if street, number and unit are.
     """
-    parsed = cut(_localities(records.select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude")).select("record_id", F.coalesce("locality", F.lit("?")).alias("locality"), F.col("p.readings").alias("readings")))
+    read = cut(records.select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude"))  # read several times below
+    parsed = cut(_localities(read).select("record_id", F.coalesce("locality", F.lit("?")).alias("locality"), F.col("p.readings").alias("readings")))
     words = parsed.select(F.explode(F.get("readings", F.lit(0))["words"]).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     variants = cut(spelling_variants(words))
     w = Window.partitionBy("word").orderBy(F.desc("better_n"), "better")
