@@ -130,4 +130,4 @@ def p3_near(spark: SparkSession, directory: str) -> DataFrame:
     """The part of p3_found that plain SQL can express."""
     found = p3_found(spark, directory)
     return found.where("relation = 'near'").select("record_id", "other_id")
-FLAGSHIP = "p3_found"
+FLAGSHIP = "link_places"
