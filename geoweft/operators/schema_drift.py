@@ -165,7 +165,7 @@ def union_columns(records: DataFrame) -> list[tuple[str, list[str], str]]:
     files = {r.key: r.files for r in seen}
     kind_of = {r.key: [k for k in KINDS if r[k]] for r in seen}
     out, taken = [], set()
-    for names in sorted({tuple(g) for g in group.values()}):
+    for names in sorted({tuple(g) for g in group.values()}, key=lambda g: (-max(files[n] for n in g), g)):
         kind = None
         for k in (k for n in names for k in kind_of[n]):
             kind = join_kinds(kind, k)
