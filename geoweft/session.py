@@ -51,3 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores, for work in Python that costs far more than reading.
+
+    A small table is often one file and so one task. Tables that are read in more partitions than there are cores, as large
+    ones are, come back as they are, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
