@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.llm.address_parts import parse, postcode5, town_key
-from geoweft.session import cut
+from geoweft.session import cut, spread
 
 #: Hypotheses kept of each address after each step of the search.
 BEAM = 4
@@ -125,7 +125,7 @@ def resolve(records: DataFrame) -> DataFrame:
     An address whose locality nothing tells is in the locality '?' of all of these; one without a number has the number ''.
     So such addresses are equal only among each other, and only if street, number and unit are.
     """
-    read = cut(records.select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude"))  # read several times below
+    read = cut(spread(records).select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude"))  # read several times below
     parsed = cut(_localities(read).select("record_id", F.coalesce("locality", F.lit("?")).alias("locality"), F.col("p.readings").alias("readings")))
     words = parsed.select(F.explode(F.get("readings", F.lit(0))["words"]).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     variants = cut(spelling_variants(words))
@@ -171,7 +171,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def same_location(users: DataFrame, linked: DataFrame) -> DataFrame:
     """(record_id_1, record_id_2), record_id_1 < record_id_2: all pairs of records that denote one location."""
-    at = cut(resolve(address_records(users, linked)).where(F.col("street").isNotNull()).select(F.xxhash64("locality", "street", "number", "unit").alias("_k"), "locality", "street", "number", "unit", "record_id"))
+    at = cut(resolve(cut(address_records(users, linked))).where(F.col("street").isNotNull()).select(F.xxhash64("locality", "street", "number", "unit").alias("_k"), "locality", "street", "number", "unit", "record_id"))
     a = at.select(*[F.col(c).alias(f"_{c}") for c in at.columns if c not in ("_k", "record_id")], "_k", F.col("record_id").alias("record_id_1"))
     b = at.withColumnRenamed("record_id", "record_id_2")
     same = (a["_k"] == b["_k"]) & (F.col("_locality") == F.col("locality")) & (F.col("_street") == F.col("street")) & (F.col("_number") == F.col("number")) & (F.col("_unit") == F.col("unit")) & (F.col("record_id_1") < F.col("record_id_2"))

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.session import spread
+
 #: Folder of the tokenizer files and name of the vocabulary; both are parameters of every function that uses them.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -294,4 +296,4 @@ def decoded(ids: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) ->
 
 def encoded_corpus(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids), one row per row of documents."""
-    return documents.select("doc_id", token_ids(F.col("text"), folder, name).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), folder, name).alias("ids"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.llm import bpe
-from geoweft.session import cut
+from geoweft.session import cut, spread
 
 #: Ranges of the sampling order per level; two levels make about 16 million ranges per source.
 RANGES = 4096
@@ -77,7 +77,7 @@ PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("tar
 
 def document_sizes(documents: DataFrame, folder: str = bpe.TOKENIZER_DIR, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """doc_id, source, tokens, copies (rows of the source with the same text), written once."""
-    base = cut(documents.select("doc_id", "source", bpe.token_count(F.col("text"), folder, vocabulary).alias("tokens"), F.xxhash64("text").alias("_h"), F.length("text").alias("_l")))
+    base = cut(spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", bpe.token_count(F.col("text"), folder, vocabulary).alias("tokens"), F.xxhash64("text").alias("_h"), F.length("text").alias("_l")))
     counted = base.groupBy("source", "_h", "_l").agg(F.count("*").alias("copies"))
     # most texts are single: only the repeated ones, with their count, take part in the join
     repeated = counted.where("copies > 1").select(F.col("source").alias("_s"), F.col("_h").alias("_rh"), F.col("_l").alias("_rl"), "copies")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from geoweft.llm.address_parts import DIRECTION_OF, TYPE_OF, UNIT_OF
 from geoweft.llm.crf import Crf
 from geoweft.llm.pii_labels import labelled_table
+from geoweft.session import spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -221,7 +222,7 @@ def pii_places(documents: DataFrame, given_names: DataFrame) -> DataFrame:
                 rows = [(d, k, s, e) for d, found in zip(part["doc_id"], find(model, list(part["text"])), strict=True) for k, s, e in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "char_start", "char_end"])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(places, FOUND)
+    return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(places, FOUND)
 
 
 def redact(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
@@ -248,4 +249,4 @@ def redacted(documents: DataFrame, given_names: DataFrame) -> DataFrame:
                 parts += [redact(t, f) for t, f in zip(some, find(model, some), strict=True)]
             yield pd.Series(parts, dtype=object)
 
-    return documents.select("doc_id", clean("text").alias("text"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", clean("text").alias("text"))

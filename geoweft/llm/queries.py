@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.llm import addresses, bpe, confusables, entity_match, mixing, pii, top_n
+from geoweft.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,7 +113,8 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 @query("p4_resolved")
 def p4_resolved(spark: SparkSession, directory: str) -> DataFrame:
     """The location that every address record denotes."""
-    return addresses.resolve(addresses.address_records(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output")))
+    records = addresses.address_records(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
+    return addresses.resolve(cut(records))
 
 
 @query("p9_found")
