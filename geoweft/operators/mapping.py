@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.functions.text import blank_to_null, clean
+from geoweft.functions.wkb import geometry_bounds, needs_projection, project_to_wgs84
 
 # Names of id fields in order of preference, row pointers, and names of the other fields by role.
 PREFERRED_IDS = "globalid guid uuid uniqueid unique_id site_id siteid address_id addressid facility_id facilityid place_id placeid asset_id assetid record_id recordid feature_id featureid unit_id unitid ng911_id ng911id loc_id locid id".split()
@@ -125,3 +126,14 @@ def mapping_preview(df: DataFrame, fields: dict[str, str | None], id_field: str
     if any(r.unit and r.unit.strip() for r in sample):
         warnings.append("Units are there; the target may only have base addresses.")
     return {"addresses": distinct([r.a for r in sample]), "postcodes": distinct([r.p for r in sample]), "warnings": warnings}
+
+
+def layer_points(df: DataFrame, wkid: int | None = 4326) -> DataFrame:
+    """df with longitude and latitude in WGS84 degrees: of a point itself, of other geometry the centre of its bounds. Rows
+    with null, empty or damaged geometry or a position that isn't finite are left out."""
+    if needs_projection(wkid) and wkid is None:
+        raise ValueError("the layer has no spatial reference")
+    boxed = df.withColumn("_b", geometry_bounds(F.col("geometry"))).where(F.col("_b.xmin").isNotNull())
+    lon, lat = project_to_wgs84((F.col("_b.xmin") + F.col("_b.xmax")) / 2, (F.col("_b.ymin") + F.col("_b.ymax")) / 2, wkid)
+    out = boxed.withColumn("longitude", lon).withColumn("latitude", lat).drop("_b")
+    return out.where(F.col("longitude").between(-1e9, 1e9) & F.col("latitude").between(-1e9, 1e9))

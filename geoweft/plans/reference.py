@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.functions import provenance, text
+from geoweft.functions import provenance, sql, text
 from geoweft.functions.similarity import jaro_winkler
 from geoweft.functions.wkb import geometry_type
 from geoweft.operators import extract, geocode, linking, mapping, rules, trace
@@ -480,3 +480,18 @@ def catalog_fields(spark, directory):
     """Fields of the catalog document for the given tables, named as types of the lake where they have the columns of one."""
     frames = {"place": table(spark, directory, "overture_place"), "division_area": table(spark, directory, "division_area"), "gers_output": table(spark, directory, "gers_output")}
     return spark.createDataFrame(catalog.catalog_fields(frames), "dataset string, position int, field string, type string")
+
+
+@query("sql_functions", f"SELECT DISTINCT record_id, overture_id, {norm('user_name')} AS name_norm, round({jw(norm('user_name'), norm('overture_name'))}, 9) AS similarity, round(sqrt(pow((overture_longitude - longitude) * 111320.0 * cos(radians((overture_latitude + latitude) / 2.0)), 2) + pow((overture_latitude - latitude) * 110540.0, 2)), 6) AS metres FROM gers_candidates")
+def sql_functions(spark, directory):
+    """The functions under their SQL names."""
+    sql.register(spark)
+    table(spark, directory, "gers_candidates").createOrReplaceTempView("gers_candidates_view")
+    return spark.sql("""SELECT DISTINCT record_id, overture_id, normalize_text(user_name) AS name_norm, round(jaro_winkler_similarity(normalize_text(user_name), normalize_text(overture_name)), 9) AS similarity,
+      round(distance_m(longitude, latitude, overture_longitude, overture_latitude), 6) AS metres FROM gers_candidates_view""")
+
+
+@query("layer_points")
+def layer_points(spark, directory):
+    """Centres of the areas' bounds, as a layer of areas is linked by points."""
+    return mapping.layer_points(table(spark, directory, "division_area")).select("id", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"))

@@ -42,13 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + folder
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cuts-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Removes the tables that cut() wrote in this application, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with a lineage that begins at a table written to the shared folder.
 
     Used where a result has several consumers or a loop would grow the plan; the files survive lost executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -115,3 +115,23 @@ def test_release_list():
     assert readers.release_list('{"latest": "b", "releases": ["b", "a"]}') == {"latest": "b", "releases": ["b", "a"]}
     assert readers.release_list("broken", cached='{"releases": ["a"]}')["latest"] == "a"
     assert readers.release_list(None, override="x") == {"latest": "x", "releases": ["x"]}
+
+
+def test_sql_functions(spark):
+    from geoweft.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT normalize_text('(Foo)  Bar') AS n, build_osm_url('OpenStreetMap', 'w1@2') AS u, build_osm_url('Esri', 'w1') AS e, jaro_winkler_similarity('martha', 'marhta') AS j, distance_m(0, 0, 0, 1) AS d").first()
+    assert (r.n, r.u, r.e, round(r.j, 6), round(r.d)) == (" foo bar", "https://www.openstreetmap.org/way/1", None, 0.961111, 110540)
+
+
+def test_layer_points(spark):
+    import numpy as np
+
+    from geoweft.functions import wkb
+
+    area = wkb.encode(("POLYGON", [[np.array([(0, 0), (4, 0), (4, 2), (0, 0)], float)]]))
+    df = spark.createDataFrame([("a", area), ("b", wkb.encode(("POINT", [np.array([[1.0, 2.0]])]))), ("c", None), ("d", b"\x01")], "id string, geometry binary")
+    assert sorted((r.id, r.longitude, r.latitude) for r in mapping.layer_points(df).collect()) == [("a", 2.0, 1.0), ("b", 1.0, 2.0)]
+    with pytest.raises(ValueError):
+        mapping.layer_points(df, None)
