@@ -97,9 +97,8 @@ def first_existing_name(df: DataFrame, aliases: Iterable[str]) -> str | None:
     return None
 
 
-def sanitize_name(text: str | None, limit: int = 50) -> str:
-    """A dataset name: letters, digits and underscores, runs of the rest one underscore, prefixed where it would begin with none of the first."""
-    name = re.sub(r"_+", "_", re.sub(r"\W+", "_", text or "")).strip("_")
-    if not name or not name[0].isalpha():
-        name = "fc_" + name
-    return name[:limit].rstrip("_") or "fc"
+def sanitize_name(text: str | None, fallback: str = "Output", limit: int = 50) -> str:
+    """A dataset name: letters, digits and underscores, each run of the rest one underscore, none at the ends, the fallback if
+    nothing is left, prefixed where it doesn't begin with a letter, cut to limit."""
+    name = re.sub(r"[^\w]+", "_", text or "").strip("_") or fallback
+    return (name if name[0].isalpha() else "fc_" + name)[:limit].rstrip("_")

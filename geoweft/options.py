@@ -66,13 +66,13 @@ class TraceOptions:
 
 @dataclass(frozen=True)
 class BridgeOptions:
-    """Constants stamped on bridge rows."""
+    """Constants stamped on bridge rows. The two policies are fixed values."""
 
     dataset: str = "Local layer"
     theme: str = "places"
     type_: str = "place"
-    linkage_policy: str = "accepted_links_only"
-    source_geometry_policy: str = "source_geometry_unchanged"
+    linkage_policy: str = "link_dont_replace"
+    source_geometry_policy: str = "authoritative_local"
     release: str = ""
     source_layer: str = ""
     tool: str = "geoweft"

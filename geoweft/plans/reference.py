@@ -178,8 +178,8 @@ def link_output_review(spark, directory):
     return rounded(place_output(spark, directory), OUTPUT_DOUBLES)
 
 
-@query("link_bridge", place_link_sql() + """ SELECT a.gers_id AS id, a.record_id, u.source_record_key, '2026-01-01' AS update_time, 'Local layer' AS dataset, 'places' AS theme, 'place' AS type, 'accepted_links_only' AS linkage_policy,
-  'source_geometry_unchanged' AS source_geometry_policy, a.match_strategy, round(a.gers_match_score, 6) AS match_score, 'unknown' AS overture_release, 'Local layer' AS source_layer, 'geoweft' AS linkage_tool
+@query("link_bridge", place_link_sql() + """ SELECT a.gers_id AS id, a.record_id, u.source_record_key, '2026-01-01' AS update_time, 'Local layer' AS dataset, 'places' AS theme, 'place' AS type, 'link_dont_replace' AS linkage_policy,
+  'authoritative_local' AS source_geometry_policy, a.match_strategy, round(a.gers_match_score, 6) AS match_score, 'unknown' AS overture_release, 'Local layer' AS source_layer, 'geoweft' AS linkage_tool
   FROM candidates a JOIN users u ON a.record_id = u.record_id WHERE a.accepted AND a.candidate_rank = 1""")
 def link_bridge(spark, directory):
     """Bridge rows; the text of the score is compared as a number."""

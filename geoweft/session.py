@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,25 @@ def build_session(app: str = "geoweft", master: str | None = None, **conf: str)
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the application, once; they may not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="geoweft-")  # on the driver alone, which serves the file to the executors
+    source = os.path.join(folder, "source")
+    shutil.copytree(package, os.path.join(source, os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "geoweft-package"), "zip", source))
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:

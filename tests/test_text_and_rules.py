@@ -30,9 +30,9 @@ def test_number_postcode_and_joins(spark):
     assert [tuple(r) for r in got] == [("12b", "93710", "QA 93710-5109"), ("", "", None), ("", "", "a x")]
 
 
-@pytest.mark.parametrize(("raw", "want"), [("Linked_geo.CY_TOWN.ADDRESS_VW", "Linked_geo_CY_TOWN_ADDRESS_VW"), ("123 bad/name", "fc_123_bad_name"), ("a" * 60, "a" * 50)])
+@pytest.mark.parametrize(("raw", "want"), [("Linked_geo.CY_TOWN.ADDRESS_VW", "Linked_geo_CY_TOWN_ADDRESS_VW"), ("123 bad/name", "fc_123_bad_name"), ("a" * 60, "a" * 50), ("...", "Fallback"), (None, "Fallback")])
 def test_sanitize_name(raw, want):
-    assert text.sanitize_name(raw) == want
+    assert text.sanitize_name(raw, "Fallback") == want
 
 
 def test_query_variants(spark):
