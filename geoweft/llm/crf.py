@@ -11,6 +11,23 @@ WORD_OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 MARK_OFFSETS = (-1, 0, 1)
 #: Longest piece that is decoded at once, and the tokens around it that are decoded with it.
 PIECE, HALO = 400, 24
+#: Words and sets of marks whose scores are kept per worker.
+BANK = 200_000
+_EDGE = "<edge>"
+
+
+class _Bank:
+    """Scores of keys at all offsets in one array that grows by doubling."""
+
+    def __init__(self, offsets: int, labels: int) -> None:
+        self.row: dict = {}
+        self.scores = np.zeros((1024, offsets, labels))
+
+    def add(self, key, scores: np.ndarray) -> None:
+        if len(self.row) == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[len(self.row)] = scores
+        self.row[key] = len(self.row)
 
 
 class Crf:
@@ -24,8 +41,7 @@ class Crf:
         self.weights = np.zeros((0, len(self.labels)))
         self.transitions = np.zeros((len(self.labels), len(self.labels)))
         self.start = np.zeros(len(self.labels))
-        self._words: dict[str, np.ndarray] = {}
-        self._marks: dict[tuple, np.ndarray] = {}
+        self._banks: dict[str, _Bank] = {}
 
     # features
 
@@ -36,7 +52,7 @@ class Crf:
             ids = []
             for kind, source, offsets in (("w", per_word, WORD_OFFSETS), ("m", marks, MARK_OFFSETS)):
                 for o in offsets:
-                    features = source[t + o] if 0 <= t + o < len(words) else ("<edge>",)
+                    features = source[t + o] if 0 <= t + o < len(words) else (_EDGE,)
                     for f in features:
                         key = (kind, o, f)
                         i = self.index.get(key)
@@ -119,36 +135,41 @@ class Crf:
 
     # decoding
 
-    def _table(self, kind: str, key, features: Sequence[str], offsets: Sequence[int], cache: dict) -> np.ndarray:
-        known = cache.get(key)
-        if known is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            known = np.zeros((len(offsets), len(self.labels)))
+    def _rows(self, kind: str, keys: Sequence, features: Callable, offsets: Sequence[int]) -> np.ndarray:
+        """Rows of the keys in the bank of scores by offset; unknown keys are added to it. A full bank begins anew."""
+        bank = self._banks.setdefault(kind, _Bank(len(offsets), len(self.labels)))
+        if len(bank.row) > BANK:
+            bank = self._banks[kind] = _Bank(len(offsets), len(self.labels))
+        row = bank.row
+        for key in set(keys).difference(row):
+            scores = np.zeros((len(offsets), len(self.labels)))
             for k, o in enumerate(offsets):
-                # a word at offset o of a token is seen by the token at -o of the word
-                for f in features:
+                for f in features(key):
                     i = self.index.get((kind, o, f))
                     if i is not None:
-                        known[k] += self.weights[i]
-            cache[key] = known
-        return known
-
-    def emissions(self, words: list[str], marks: list[tuple]) -> np.ndarray:
-        n = len(words)
-        out = np.zeros((n, len(self.labels)))
-        for kind, offsets, keys, feature, cache in (("w", WORD_OFFSETS, words, self.word_features, self._words), ("m", MARK_OFFSETS, marks, lambda m: m, self._marks)):
-            edge = self._table(kind, "<edge>" if kind == "w" else ("<edge>",), ("<edge>",), offsets, {})
-            tables = np.stack([cache[k] if k in cache else self._table(kind, k, feature(k), offsets, cache) for k in keys])
+                        scores[k] += self.weights[i]
+            bank.add(key, scores)
+        return np.fromiter((row[k] for k in keys), int, len(keys))
+
+    def emissions(self, sequences: list[tuple[list[str], list[tuple]]]) -> list[np.ndarray]:
+        """Scores of the labels for every token of each sequence of (words, marks). All sequences are scored at once, with as
+        many edge tokens between them as a token sees."""
+        reach = max(map(abs, WORD_OFFSETS))
+        words, marks, spans, at = [_EDGE] * reach, [(_EDGE,)] * reach, [], reach
+        for w, m in sequences:
+            words += [*w, *[_EDGE] * reach]
+            marks += [*m, *[(_EDGE,)] * reach]
+            spans.append((at, at + len(w)))
+            at += len(w) + reach
+        out = np.zeros((len(words), len(self.labels)))
+        of_word = lambda w: (_EDGE,) if w == _EDGE else self.word_features(w)
+        for kind, keys, features, offsets in (("w", words, of_word, WORD_OFFSETS), ("m", marks, lambda m: m, MARK_OFFSETS)):
+            rows = self._rows(kind, keys, features, offsets)
+            scores = self._banks[kind].scores
             for k, o in enumerate(offsets):
-                lo, hi = max(0, -o), min(n, n - o)
-                if lo < hi:
-                    out[lo:hi] += tables[lo + o : hi + o, k]
-                if o < 0:
-                    out[: min(n, -o)] += edge[k]
-                elif o > 0:
-                    out[max(0, n - o) :] += edge[k]
-        return out
+                lo, hi = max(0, -o), len(words) - max(0, o)
+                out[lo:hi] += scores[rows[lo + o : hi + o], k]
+        return [out[a:b] for a, b in spans]
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """Best label numbers of each sequence. Sequences are cut into pieces with a halo on either side and go through

@@ -75,6 +75,8 @@ DETECTORS = {
     "last_first": re.compile(rf"(?<![\w’'@.\-])(?=((?:(?:van\s+der|van|de\s+la|d[eé]\s+l[aá]|von|al)[\s\-]+)?[^\W\d_a-zß-öø-ÿ]{_NAME},\s[^\W\d_a-zß-öø-ÿ]{_NAME}))"),
     "ten_digits": re.compile(r"(?<![\w.\-/@])[2-9]\d{2}555\d{4}(?![\w@])"),
 }
+_NEED = {"mail": ("@",), "mail_words": ("at]", "at)", "at}", " at "), "element": ("n", "w", "r"), "de_address": ("str", "weg", "platz", "allee", "gasse"), "fr_address": ("rue", "avenue", "boulevard", "place", "allée", "quai", "chemin"), "es_address": ("calle", "avenida", "plaza", "paseo", "c/")}
+_NEED_DIGITS = frozenset(DETECTORS) - {"mail", "mail_words", "full_name", "initial_name", "last_first", "stop", "nick"}
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
@@ -120,7 +122,11 @@ def detector_marks(text: str, tokens: list[tuple[str, int, int]]) -> list[tuple[
     """Per token the marks of the detectors whose stretches hold it: begin, inside or last."""
     marks: list[list[str]] = [[] for _ in tokens]
     starts = [s for _, s, _ in tokens]
+    digits, low = any(c.isdigit() for c in text), text.lower()
     for name, pattern in DETECTORS.items():
+        # what a detector can't do without is looked for first
+        if (name in _NEED_DIGITS and not digits) or (name in _NEED and not any(n in low for n in _NEED[name])):
+            continue
         for m in pattern.finditer(text):
             begin, end = m.span(1) if name == "last_first" else m.span()
             lo, hi = bisect_left(starts, begin), bisect_left(starts, end)
@@ -150,15 +156,15 @@ _LINE = re.compile(r"[^\n\r]+")
 
 def find(model: Crf, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every place of each text, in code points. Lines are decoded apart, whole texts line by line."""
-    lines, emissions = [], []
+    lines, sequences = [], []
     for i, text in enumerate(texts):
         for m in _LINE.finditer(text or ""):
             tokens = tokenize(m.group())
             if tokens:
                 lines.append((i, m.start(), tokens))
-                emissions.append(model.emissions([w for w, _, _ in tokens], detector_marks(m.group(), tokens)))
+                sequences.append(([w for w, _, _ in tokens], detector_marks(m.group(), tokens)))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, at, tokens), path in zip(lines, model.decode(emissions), strict=True):
+    for (i, at, tokens), path in zip(lines, model.decode(model.emissions(sequences)), strict=True):
         kind, start, end = None, 0, 0
         for (w, s, e), y in zip([*tokens, ("", -1, -1)], [*path, 0], strict=True):
             label = LABELS[y]
