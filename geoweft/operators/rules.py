@@ -65,6 +65,11 @@ def draw_order(layers: DataFrame, style: dict[str, int] | None = None) -> DataFr
     return ranked.orderBy(F.desc("draw_rank"), F.col("theme").asc_nulls_last(), F.col("type").asc_nulls_last(), F.col("name").asc_nulls_last())
 
 
+def family_counts(layers: DataFrame) -> DataFrame:
+    """family, n of layers by their geometry_type."""
+    return layers.groupBy(geometry_family(F.col("geometry_type")).alias("family")).agg(F.count("*").alias("n")).orderBy("family")
+
+
 def size_estimate(types: DataFrame) -> DataFrame:
     """features_per_km2 and kb_per_km2 of the chosen types (column type); unknown types count nothing."""
     density = F.coalesce(_lookup(F.col("type"), DENSITIES), F.lit(0))

@@ -94,6 +94,11 @@ def test_land_use_and_road_labels(spark):
     assert rules.road_labels(df).count() == 1 and rules.road_labels(df, local=True).count() == 1
 
 
+def test_family_counts(spark):
+    df = spark.createDataFrame([("MULTIPOINT",), ("POINT",), ("LINESTRING",), ("MULTIPOLYGON",), (None,)], "geometry_type string")
+    assert [tuple(r) for r in rules.family_counts(df).collect()] == [("line", 1), ("point", 2), ("polygon", 2)]
+
+
 def test_options():
     with pytest.raises(ValueError):
         LinkOptions(max_distance_m=0)
