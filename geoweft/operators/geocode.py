@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.functions.text import clean, contains_all_tokens, first_existing, first_existing_name, join_non_blank, normalize_for_search, search_form, tokens_of
+from geoweft.functions.text import clean, contains_all_tokens, first_existing, first_existing_name, join_non_blank, normalize_for_search, search_form, tokens, tokens_of
 from geoweft.functions.wkb import intersects_extent, point_xy
 from geoweft.operators.spatial_join import usable
 from geoweft.options import Extent
+from geoweft.session import cut
 
 # attributes' names, scores of the match tiers, the bias of addresses, and the floors of tiers and confidence.
 NUMBER = ["number", "housenumber", "house_number"]
@@ -28,6 +29,9 @@ CONFIDENCE = ((280, "High"), (190, "Medium"))
 MATCH_LABELS = {"exact": "Exact {} match", "prefix": "Strong {} match", "contains": "Partial {} match", "token": "Approximate text match", "locator": "Matched by locator"}
 CONFIDENCE_LABELS = {"high": "High confidence", "medium": "Good candidate", "low": "Needs review"}
 
+#: Characters by which tokens meet the words that may hold them.
+GRAM = 4
+
 
 def match_label(tier: str | None, source: str | None) -> str:
     kind = "place" if (source or "").lower() == "place" else "address"
@@ -130,27 +134,40 @@ def variants(address: Column, city: Column, state: Column, postcode: Column) ->
     return F.when(a != "", first).otherwise(F.array().cast("array<string>"))
 
 
-def geocode_table(queries: DataFrame, addresses: DataFrame, places: DataFrame, max_rows: int = 500) -> DataFrame:
+def _grams(word: Column) -> Column:
+    """All substrings of one to GRAM characters."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.array(*[F.substr(word, i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+
+
+def _holders(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(x, w, n): the words w of the targets that hold the token x. Only distinct words meet, on the token's first letters."""
+    held = words.select("w", "n", F.explode(_grams(F.col("w"))).alias("_g"))
+    return asked.withColumn("_g", F.substring("x", 1, GRAM)).join(held, "_g").where(F.col("w").contains(F.col("x"))).select("x", "w", "n")
+
+
+def geocode_table(queries: DataFrame, addresses: DataFrame, places: DataFrame, max_rows: int | None = None) -> DataFrame:
     """For each row (row_id, address, city, state, postcode) the best hit of the first variant that has a usable one.
 
     Returns row_id, query, display_label, longitude, latitude, source_type, match_tier, confidence, score; rows without a
-    hit have nulls. max_rows is the contract's limit on queries (by row_id), which makes their variants - at most five each -
-    small enough to be sent to all tasks: each variant is compared with every target as substrings, in blocks of the target.
+    hit have nulls. max_rows limits the queries (by row_id); by default all are geocoded. A token has letters and digits alone, so a target that
+    holds it has a word that does: each variant meets only the targets with a word that holds its rarest token.
     """
-    limited = queries.orderBy("row_id").limit(max_rows)
+    limited = cut(queries if max_rows is None else queries.orderBy("row_id").limit(max_rows))
     rows = limited.select("row_id", variants(*[F.col(c) for c in ("address", "city", "state", "postcode")]).alias("v"))
-    exploded = rows.select("row_id", F.posexplode("v").alias("no", "query")).withColumn("q", normalize_for_search(F.col("query"))).where("q != ''")
+    exploded = cut(rows.select("row_id", F.posexplode("v").alias("no", "query")).withColumn("q", normalize_for_search(F.col("query"))).where("q != ''"))
     targets = addresses.withColumn("_s", F.lit("Address")).withColumn("_b", F.lit(ADDRESS_BIAS)).unionByName(places.withColumn("_s", F.lit("Place")).withColumn("_b", F.lit(PLACE_BIAS)))
-    targets = targets.where((F.col("display_label") != "") & usable(F.col("longitude"), F.col("latitude")))
-    exploded = exploded.withColumn("t", F.split("q", " "))
-    longest = F.element_at(F.array_sort(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
-    small = F.broadcast(exploded.select("row_id", "no", "query", "q", "t", longest.alias("longest")))  # at most 5 * max_rows rows
+    targets = cut(targets.where((F.col("display_label") != "") & usable(F.col("longitude"), F.col("latitude"))))
+    posted = targets.withColumn("w", F.explode(F.array_distinct(tokens(F.col("search_text")))))
+    asked = exploded.select("q").distinct().withColumn("t", F.array_distinct(F.split("q", " ")))
+    each = asked.select("q", "t", F.explode("t").alias("x"))
+    held = cut(_holders(each.select("x").distinct(), posted.groupBy("w").agg(F.count("*").alias("n"))))
+    # a variant with a token that no target holds has no hit
+    known = each.join(held.groupBy("x").agg(F.sum("n").alias("n")), "x").groupBy("q", "t").agg(F.count("*").alias("k"), F.min_by("x", F.struct("n", "x")).alias("x")).where(F.col("k") == F.size("t"))
     hay = F.col("search_text")
-    # the longest token decides nearly all pairs in compiled code; a text that holds the whole query holds all its tokens
-    hits = targets.join(small, hay.contains(F.col("longest")) & F.forall("t", lambda x: hay.contains(x)))
+    hits = known.join(held.select("x", "w"), "x").join(posted, "w").where(F.forall("t", lambda x: hay.contains(x)))
     score = F.when(hay == F.col("q"), EXACT).when(hay.startswith(F.col("q")), PREFIX).when(hay.contains(F.col("q")), CONTAINS).otherwise(TOKEN) + F.col("_b")
-    hits = hits.withColumn("score", score)
-    w = Window.partitionBy("row_id").orderBy("no", F.desc("score"), F.lower("display_label"), "display_label", "_s", "longitude", "latitude")
-    top = hits.withColumn("r", F.row_number().over(w)).where("r = 1")
+    order = [F.desc("score"), F.lower("display_label"), "display_label", "_s", "longitude", "latitude"]
+    first = hits.withColumn("score", score).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where("r = 1").select("q", "display_label", "longitude", "latitude", "_s", "score")
+    top = exploded.join(first, "q").withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy("no", *order))).where("r = 1")
     top = top.select("row_id", "query", "display_label", "longitude", "latitude", F.col("_s").alias("source_type"), _tier(F.col("score")).alias("match_tier"), _confidence(F.col("score")).alias("confidence"), "score")
     return limited.select("row_id").join(top, "row_id", "left")

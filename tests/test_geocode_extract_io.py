@@ -47,6 +47,19 @@ def test_geocode_table(spark, addresses, places):
     assert geocode.geocode_table(q.where("false"), addresses, places).count() == 0
 
 
+def test_geocode_table_takes_every_row(spark, addresses, places):
+    """Rows beyond 500, tokens inside words and tokens of one letter, as a comparison of all pairs finds them."""
+    texts = ["1939 E OLIVE AVE", "live av", "9 o", "99 OLIVE", "oak s", "rill taur", "k", "OLIVE-AVE 19", "fresno"]
+    q = spark.createDataFrame([(f"{i:04d}", texts[i % len(texts)], None, None, None) for i in range(600)], "row_id string, address string, city string, state string, postcode string")
+    got = {r.row_id: r for r in geocode.geocode_table(q, addresses, places).collect()}
+    assert len(got) == 600
+    for i, text in enumerate(texts):
+        want = geocode.best(addresses, places, text).first()
+        for k in (i, 594 + i if i < 6 else i):
+            r = got[f"{k:04d}"]
+            assert (r.display_label, r.score, r.source_type) == ((want.display_label, want.score, want.source_type) if want else (None, None, None))
+
+
 def test_searchable_extents(spark):
     df = spark.createDataFrame([("a", point(1, 1), (1.0, 1.0, 1.0, 1.0)), ("b", point(5, 5), (5.0, 5.0, 5.0, 5.0)), ("c", None, None)], "name string, geometry binary, bbox struct<xmin:float,xmax:float,ymin:float,ymax:float>")
     assert geocode.searchable(df, Extent(0, 0, 2, 2)).count() == 1 and geocode.searchable(df.drop("bbox"), Extent(0, 0, 2, 2)).count() == 1 and geocode.searchable(df).count() == 2
