@@ -7,6 +7,8 @@ empty table gives empty results; repeated records count as often as they occur f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,18 +140,15 @@ def join_kinds(a: str | None, b: str | None) -> str | None:
     return "decimal" if {a, b} == {"whole", "decimal"} else "text"
 
 
-def union_columns(records: DataFrame) -> list[tuple[str, list[str], str]]:
-    """(column, names, kind) of the union schema over all datasets and files.
+def _renames(records: DataFrame) -> set[tuple[str, str]]:
+    return {(r.old_field, r.field) for r in schema_changes(records).where("change_kind = 'renamed'").select("old_field", "field").distinct().collect()}
 
-    Names that were renamed into each other are one column unless some file has both; the column has the name that most
-    files use. The kind is the least upper bound of all values' kinds. Only the distinct names, their kinds and the pairs
-    seen in one file come to the driver, at most MAX_FIELD_NAMES names.
-    """
-    fields = cut(file_schemas(field_values(records)).where("list_key is null"))
+
+def _folded(fields: DataFrame, renames: set[tuple[str, str]]) -> list[tuple[str, list[str], str]]:
+    """(column, names, kind) of the union of all files' fields of one level: dataset, file_seq, key and the counts of kinds."""
     seen = fields.groupBy("key").agg(F.count("*").alias("files"), *[F.sum(f"n_{k}").alias(k) for k in KINDS]).limit(MAX_FIELD_NAMES + 1).collect()
     if len(seen) > MAX_FIELD_NAMES:
         raise ValueError(f"more than {MAX_FIELD_NAMES} field names")
-    renames = {(r.old_field, r.field) for r in schema_changes(records).where("change_kind = 'renamed'").select("old_field", "field").distinct().collect()}
     other = fields.select("dataset", "file_seq", F.col("key").alias("other"))
     touched = sorted({n for pair in renames for n in pair})
     together = set()
@@ -178,20 +177,81 @@ def union_columns(records: DataFrame) -> list[tuple[str, list[str], str]]:
     return out
 
 
+def union_columns(records: DataFrame, renames: set[tuple[str, str]] | None = None) -> list[tuple[str, list[str], str]]:
+    """(column, names, kind) of the union schema over all datasets and files.
+
+    Names that were renamed into each other are one column unless some file has both; the column has the name that most
+    files use. The kind is the least upper bound of all values' kinds. Only the distinct names, their kinds and the pairs
+    seen in one file come to the driver, at most MAX_FIELD_NAMES names.
+    """
+    fields = cut(file_schemas(field_values(records)).where("list_key is null"))
+    return _folded(fields, _renames(records) if renames is None else renames)
+
+
+def _member(value: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(value, "$[\"" + name.replace("\\", "\\\\").replace('"', '\\"') + "\"]", kind)
+
+
+def _elements(names: list[str]) -> Column:
+    """The list under the first of the names that has a value, as array<variant>; a text that holds a list in JSON is that list."""
+    text = F.coalesce(*[_member(F.col("_v"), n, "string") for n in names])
+    return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+
+
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
+def inner_columns(records: DataFrame, columns: list[tuple[str, list[str], str]], renames: set[tuple[str, str]]) -> dict[str, list[tuple[str, list[str], str]]]:
+    """For each column whose values are all lists of objects, as lists or as texts of JSON, the union schema of the objects: the
+    inner keys with their renames and kinds folded as union_columns() does it."""
+    maybe = [(i, c, names) for i, (c, names, kind) in enumerate(columns) if kind in ("list", "text")]
+    parsed = cut(records.where("dataset is not null and file_seq is not null").select("dataset", F.col("file_seq").cast("long").alias("file_seq"), F.try_parse_json("payload").alias("_v")))
+    tests = []
+    for i, _, names in maybe:
+        has = F.coalesce(*[_member(F.col("_v"), n, "string") for n in names]).isNotNull()
+        sound = F.coalesce(F.forall(_elements(names), lambda e: F.coalesce(_is_object(e), F.lit(True)) | F.is_variant_null(e)), F.lit(False))
+        tests += [F.count_if(has & ~sound).alias(f"other_{i}"), F.count_if(has & F.exists(_elements(names), _is_object)).alias(f"objects_{i}")]
+    said = parsed.agg(*tests).first() if tests else None
+    out = {}
+    for i, column, names in maybe:
+        if said[f"other_{i}"] or not said[f"objects_{i}"]:
+            continue
+        elements = parsed.select("dataset", "file_seq", F.explode(_elements(names)).alias("_e")).where(_is_object(F.col("_e")))
+        inner = _exploded(elements, "_e", "key", "_value").withColumn("kind", json_kind(F.col("_value"))).where("key is not null").select("dataset", "file_seq", F.lit(column).alias("list_key"), "key", "kind")
+        heads = [n + "." for n in names]
+        own = {(a[len(h) :], b[len(g) :]) for a, b in renames for h in heads for g in heads if a.startswith(h) and b.startswith(g)}
+        out[column] = _folded(cut(file_schemas(inner)), own)
+    return {c: fields for c, fields in out.items() if fields}
+
+
+def _shaper(fields: list[tuple[str, list[str], str]]) -> Callable[[Column], Column]:
+    def shaped(element: Column) -> Column:
+        values = [F.coalesce(*[_member(element, n, _SQL.get(kind, "string")) for n in names]).alias(name) for name, names, kind in fields]
+        return F.when(_is_object(element), F.struct(*values))
+
+    return shaped
+
+
+_SQL = {"whole": "bigint", "decimal": "double", "boolean": "boolean"}
+
+
 def consistent_table(records: DataFrame) -> DataFrame:
     """All records in one schema: dataset, file_seq, record_no, id and a column field_<name> per column of union_columns.
 
-    Whole numbers are bigint, decimal numbers double, booleans boolean; text, lists and objects are strings (the latter two
+    Whole numbers are bigint, decimal numbers double, booleans boolean. Lists of objects are array<struct> of the schema of
+    inner_columns, also where some files hold them as texts of JSON. Text, other lists and objects are strings (the latter two
     JSON), and so is a column of mixed kinds. No record is dropped: a damaged payload leaves its fields null.
     """
-    sql = {"whole": "bigint", "decimal": "double", "boolean": "boolean"}
-    v = F.col("_v")
-    columns = []
-    for name, names, kind in union_columns(records):
-        parts = []
-        for n in names:
-            path = "$[\"" + n.replace("\\", "\\\\").replace('"', '\\"') + "\"]"
-            parts.append(F.try_variant_get(v, path, sql.get(kind, "string")))
-        columns.append(F.coalesce(*parts).alias(f"field_{name}"))
+    renames = _renames(records)
+    columns = union_columns(records, renames)
+    nested = inner_columns(records, columns, renames)
+
+    out = []
+    for name, names, kind in columns:
+        if name in nested:
+            out.append(F.transform(_elements(names), _shaper(nested[name])).alias(f"field_{name}"))
+        else:
+            out.append(F.coalesce(*[_member(F.col("_v"), n, _SQL.get(kind, "string")) for n in names]).alias(f"field_{name}"))
     parsed = records.withColumn("_v", F.try_parse_json(F.col("payload")))
-    return parsed.select("dataset", F.col("file_seq").cast("long").alias("file_seq"), F.col("record_no").cast("long").alias("record_no"), "id", *columns)
+    return parsed.select("dataset", F.col("file_seq").cast("long").alias("file_seq"), F.col("record_no").cast("long").alias("record_no"), "id", *out)

@@ -59,3 +59,13 @@ def test_consistent_table_keeps_all_values(spark):
 
 def test_lattice():
     assert [join_kinds(*p) for p in ((None, "whole"), ("whole", "decimal"), ("text", "whole"), ("list", "object"), ("boolean", "boolean"))] == ["whole", "decimal", "text", "text", "boolean"]
+
+
+def test_lists_of_objects_have_one_schema(spark):
+    rows = file(1, lambda k: {"addresses": [{"post": f"{k}", "x": 1}], "tags": ["a"]}) + file(2, lambda k: {"addresses": [{"zip": f"{k}", "x": 2.5}, None], "tags": ["a"]})
+    rows += file(3, lambda k: {"addresses": json.dumps([{"zip": k, "town": "T"}])}) + file(1, lambda k: {"addresses": None, "mixed": [1, {"q": 1}]}, dataset="e")
+    got = consistent_table(records(spark, rows)).orderBy("dataset", "file_seq", "record_no").collect()
+    assert [[e and e.asDict() for e in r.field_addresses] for r in (got[1], got[7], got[13])] == [
+        [{"zip": "1", "x": 1.0, "town": None}], [{"zip": "1", "x": 2.5, "town": None}, None], [{"zip": "1", "x": None, "town": "T"}],
+    ]
+    assert got[18].field_addresses is None and got[18].field_mixed == '[1,{"q":1}]' and got[0].field_tags == '["a"]'
