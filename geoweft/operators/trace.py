@@ -21,7 +21,7 @@ def trace_ids(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def trace_sources(ids: DataFrame, bridge: DataFrame, options: TraceOptions | None = None) -> DataFrame:
-    """gers_id, dataset, record_id, update_time, theme, type, source_url, ordered, at most options.limit rows.
+    """gers_id, dataset, record_id, update_time, theme, type, source_url, ordered, at most options.limit rows, or all if it is None.
 
     theme and type are compared in the scan of bridge (partition columns prune files). The ids have no size bound, so the
     planner decides by size which side is broadcast.
@@ -31,7 +31,8 @@ def trace_sources(ids: DataFrame, bridge: DataFrame, options: TraceOptions | Non
     rows = rows.select(F.col("id").cast("string").alias("_id"), *[F.col(c).cast("string").alias(c) for c in ("record_id", "update_time", "dataset", "theme", "type")])
     distinct = ids.select(F.col("gers_id").cast("string").alias("gers_id")).where(F.trim("gers_id") != "").distinct()
     found = distinct.join(rows, F.col("gers_id") == F.col("_id")).select("gers_id", "dataset", "record_id", "update_time", "theme", "type", provenance.osm_url(F.col("dataset"), F.col("record_id")).alias("source_url"))
-    return found.orderBy(F.col("gers_id").asc_nulls_last(), F.col("dataset").asc_nulls_last(), F.col("record_id").asc_nulls_last(), F.col("update_time").asc_nulls_last()).limit(o.limit)
+    found = found.orderBy(F.col("gers_id").asc_nulls_last(), F.col("dataset").asc_nulls_last(), F.col("record_id").asc_nulls_last(), F.col("update_time").asc_nulls_last())
+    return found if o.limit is None else found.limit(o.limit)
 
 
 def enrich_trace(trace: DataFrame) -> DataFrame:

@@ -57,11 +57,11 @@ class LinkOptions:
 class TraceOptions:
     theme: str = "places"
     type_: str = "place"
-    max_rows: int = 250_000
+    max_rows: int | None = 250_000  # None: all rows
 
     @property
-    def limit(self) -> int:
-        return min(1_000_000, max(1, self.max_rows))
+    def limit(self) -> int | None:
+        return None if self.max_rows is None else min(1_000_000, max(1, self.max_rows))
 
 
 @dataclass(frozen=True)

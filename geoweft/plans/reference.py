@@ -248,7 +248,7 @@ traced AS (SELECT i.gers_id, b.dataset, b.record_id, b.update_time, b.theme, b.t
 
 
 def traced(spark, directory):
-    return trace.trace_sources(table(spark, directory, "gers_output").select("gers_id"), table(spark, directory, "gers_bridge"), TraceOptions())
+    return trace.trace_sources(table(spark, directory, "gers_output").select("gers_id"), table(spark, directory, "gers_bridge"), TraceOptions(max_rows=None))
 
 
 @query("trace_sources", TRACE_SQL + "SELECT * FROM traced")
