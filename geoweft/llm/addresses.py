@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +14,12 @@ from geoweft.session import cut, spread
 
 #: Hypotheses kept of each address after each step of the search.
 BEAM = 4
-#: A spelling gives way to a near one that is written at least this many times as often.
+#: A spelling gives way to a near one of its locality that is written at least this many times as often,
 RATIO = 3.0
+#: but not if it has at least this many house numbers there and this share of the other's support: then it is a street too.
+OWN_NUMBERS, OWN_SHARE = 4, 0.15
+#: Records in one locality from which on a spelling that gives way to none there is known to be a word everywhere.
+KNOWN_SUPPORT = 3
 #: Side of the squares, in degrees, in which records without town and postcode take the town of their neighbours.
 SQUARE = 0.01
 #: Least share of a square's records that must name one town for that.
@@ -62,15 +66,41 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), cut_at))
 
 
-def spelling_variants(words: DataFrame, word: str = "word", n: str = "n", least: int = 4) -> DataFrame:
-    """(word, better, better_n): pairs one edit apart of which better is written RATIO times as often. words: distinct words with
-    their counts. Words shorter than ``least`` or with a digit are as they are, and none gives way to a word of that length or less. The join is on shared deletions, so no pair
-    of words that aren't near is made."""
-    long = words.where((F.length(word) >= least) & ~F.col(word).rlike("[0-9]")).select(F.col(word).alias("a"), F.col(n).alias("na"))
+def spelling_variants(words: DataFrame, scope: Sequence[str] = (), ratio: float = RATIO, least: int = 4) -> DataFrame:
+    """(*scope, word, better, better_n, n): pairs of words one edit apart in one scope of which better is written ratio times as
+    often. words: distinct (*scope, word) with their counts n. Words shorter than ``least`` or with a digit are as they are. The
+    join is on shared deletions, so no pair of words that aren't near is made."""
+    long = words.where((F.length("word") >= least) & ~F.col("word").rlike("[0-9]")).select(*scope, F.col("word").alias("a"), F.col("n").alias("na"))
     keyed = long.withColumn("d", F.explode(_deletions(F.col("a"))))
-    other = keyed.select("d", F.col("a").alias("b"), F.col("na").alias("nb"))
-    pairs = keyed.join(other, "d").where((F.col("nb") >= RATIO * F.col("na")) & (F.col("a") != F.col("b")) & (F.length("b") > least)).select("a", "b", "nb").distinct()
-    return pairs.where(_one_edit(F.col("a"), F.col("b"))).select(F.col("a").alias(word), F.col("b").alias("better"), F.col("nb").alias("better_n"))
+    other = keyed.select(*scope, "d", F.col("a").alias("b"), F.col("na").alias("nb"))
+    pairs = keyed.join(other, [*scope, "d"]).where((F.col("nb") >= ratio * F.col("na")) & (F.col("a") != F.col("b"))).select(*scope, "a", "b", "na", "nb").distinct()
+    return pairs.where(_one_edit(F.col("a"), F.col("b"))).select(*scope, F.col("a").alias("word"), F.col("b").alias("better"), F.col("nb").alias("better_n"), F.col("na").alias("n"))
+
+
+def _best_spellings(variants: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """(*keys, name): the BEAM best spellings that a word may give way to, best first."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("better_n"), "better")
+    ranked = variants.withColumn("r", F.row_number().over(w)).where(F.col("r") <= BEAM)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "better"))).alias(name))  # at most BEAM each
+
+
+def street_spellings(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((locality, word, local), (word, everywhere)): the spellings that a street word gives way to.
+
+    words: locality, word, n records and nn house numbers. Spellings are clustered within each locality: a word gives way to a
+    near one that is RATIO times as usual there, unless it has house numbers and support of its own there. Only a word that
+    is known in no locality and gives way to none in its own falls back on the words known elsewhere: to a near one with
+    the same first letter, as slips of the first letter are rare and other first letters make other names.
+    """
+    local = spelling_variants(words, ["locality"])
+    local = local.join(words.select("locality", "word", "nn"), ["locality", "word"])
+    local = cut(local.where((F.col("nn") < OWN_NUMBERS) | (F.col("n") < OWN_SHARE * F.col("better_n"))))
+    beaten = local.select("locality", "word").distinct()
+    known = cut(words.where(F.col("n") >= KNOWN_SUPPORT).join(beaten, ["locality", "word"], "left_anti").select("word").distinct())
+    overall = words.groupBy("word").agg(F.sum("n").alias("n"))
+    near = spelling_variants(overall).where(F.substr("word", F.lit(1), F.lit(1)) == F.substr("better", F.lit(1), F.lit(1)))
+    near = near.join(known, "word", "left_anti").join(known.select(F.col("word").alias("better")), "better", "left_semi")
+    return cut(_best_spellings(local, ["locality", "word"], "local")), cut(_best_spellings(near, ["word"], "everywhere"))
 
 
 def address_records(users: DataFrame, linked: DataFrame) -> DataFrame:
@@ -112,8 +142,8 @@ def _localities(parsed: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """record_id, locality, street, number, unit of every record: the location it denotes; of a record without address the
-    locality alone, with the rest null.
+    """record_id, locality, street_id, street, number, unit of every record: the location it denotes; of a record without
+    address the locality alone, with the rest null.
 
     1. Every address is read in one or more ways. 2. Its locality is found. 3. Street words that are near a far more usual
     word are clustered with it; the usual spellings with their directions and types are the gazetteer of a locality, an entry
@@ -122,20 +152,20 @@ def resolve(records: DataFrame) -> DataFrame:
     fetched readings, edits and missing parts cost; the cheapest hypothesis wins, ties by support, then by text. Where
     several entries complete a writing it denotes a street of its own.
 
-    An address whose locality nothing tells is in the locality '?' of all of these; one without a number has the number ''.
-    So such addresses are equal only among each other, and only if street, number and unit are.
+    An address whose locality nothing tells is in a locality of its own, '?' and its record_id, as nothing says that two of
+    them are in one city; so it denotes no other's location. One without a number has the number '' and is equal to others
+    without. The street identifier is a 64-bit number of locality and street; joins on it compare the texts as well.
     """
     read = cut(spread(records).select("record_id", _parsed("address", "city", "postcode").alias("p"), "longitude", "latitude"))  # read several times below
-    parsed = cut(_localities(read).select("record_id", F.coalesce("locality", F.lit("?")).alias("locality"), F.col("p.readings").alias("readings")))
-    words = parsed.select(F.explode(F.get("readings", F.lit(0))["words"]).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    variants = cut(spelling_variants(words))
-    w = Window.partitionBy("word").orderBy(F.desc("better_n"), "better")
-    ranked = variants.withColumn("r", F.row_number().over(w)).where(F.col("r") <= BEAM)
-    fixes = cut(ranked.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("r", "better"))).alias("fixes")))  # at most BEAM each
+    parsed = cut(_localities(read).select("record_id", F.coalesce("locality", F.concat(F.lit("?"), "record_id")).alias("locality"), F.col("p.readings").alias("readings")))
+    first_reading = F.get("readings", F.lit(0))
+    written = parsed.select("locality", F.explode(first_reading["words"]).alias("word"), first_reading["number"].alias("number"))
+    local, everywhere = street_spellings(cut(written.groupBy("locality", "word").agg(F.count("*").alias("n"), F.count_distinct("number").alias("nn"))))
 
     readings = parsed.select("record_id", "locality", F.posexplode("readings").alias("reading", "q")).select("record_id", "locality", "reading", "q.*")
     # every reading with each word's spellings: as written and the better ones
-    spelled = readings.select("*", F.posexplode_outer("words").alias("at", "word")).join(fixes, "word", "left")
+    spelled = readings.select("*", F.posexplode_outer("words").alias("at", "word")).join(local, ["locality", "word"], "left").join(everywhere, "word", "left")
+    spelled = spelled.withColumn("fixes", F.coalesce("local", "everywhere"))
     options = F.concat(F.transform(F.coalesce("fixes", F.array().cast("array<struct<r:int,better:string>>")), lambda x: F.struct((x.r * 0.5).alias("c"), x.better.alias("s"))), F.array(F.struct(F.when(F.col("fixes").isNotNull(), 2.5).otherwise(0.0).alias("c"), F.col("word").alias("s"))))
     per = ["record_id", "locality", "reading", "number", "direction", "type", "unit", "cost"]
     chosen = spelled.groupBy(*per).agg(F.array_sort(F.collect_list(F.struct("at", options.alias("o")))).alias("options"))
@@ -165,14 +195,37 @@ def resolve(records: DataFrame) -> DataFrame:
     street = F.when(one, F.concat_ws(" ", F.col("fit")[0]["direction"], F.col("name"), F.col("fit")[0]["type"])).otherwise(F.concat_ws(" ", F.lit("?"), direction, "name", type_))
     missing = F.when(one, (F.col("fit")[0]["direction"] != direction).cast("int") * 0.2 + (F.col("fit")[0]["type"] != type_).cast("int") * 0.2).when(F.size("fit") > 1, F.lit(0.6)).otherwise(F.lit(3.0))
     best = found.groupBy("record_id", "locality").agg(F.min(F.struct((F.col("paid") + missing).alias("total"), (-F.col("support")).alias("s"), street.alias("street"), "number", "unit")).alias("b"))
-    told = best.select("record_id", F.col("b.street").alias("street"), F.col("b.number").alias("number"), F.col("b.unit").alias("unit"))
+    told = best.select("record_id", F.xxhash64("locality", "b.street").alias("street_id"), F.col("b.street").alias("street"), F.col("b.number").alias("number"), F.col("b.unit").alias("unit"))
     return parsed.select("record_id", "locality").join(told, "record_id", "left")
 
 
+def _located(users: DataFrame, linked: DataFrame) -> DataFrame:
+    """The records whose address denotes a location: record_id, its parts, and ``location``, a 64-bit number of street
+    identifier, number and unit."""
+    at = resolve(cut(address_records(users, linked))).where(F.col("street").isNotNull())
+    return cut(at.select("record_id", F.xxhash64("street_id", "number", "unit").alias("location"), "locality", "street", "number", "unit"))
+
+
+def location_members(users: DataFrame, linked: DataFrame) -> DataFrame:
+    """(record_id, location_id, links): one row per record with an address, the class of records that denote its location, named
+    by its least record_id, and the number of other records in it. Classes of any size stay one row per record."""
+    at = _located(users, linked)
+    where = ["location", "locality", "street", "number", "unit"]
+    classes = at.groupBy(*where).agg(F.min("record_id").alias("location_id"), (F.count("*") - 1).alias("links"))
+    return at.join(classes, where).select("record_id", "location_id", "links")
+
+
 def same_location(users: DataFrame, linked: DataFrame) -> DataFrame:
-    """(record_id_1, record_id_2), record_id_1 < record_id_2: all pairs of records that denote one location."""
-    at = cut(resolve(cut(address_records(users, linked))).where(F.col("street").isNotNull()).select(F.xxhash64("locality", "street", "number", "unit").alias("_k"), "locality", "street", "number", "unit", "record_id"))
-    a = at.select(*[F.col(c).alias(f"_{c}") for c in at.columns if c not in ("_k", "record_id")], "_k", F.col("record_id").alias("record_id_1"))
+    """(record_id_1, record_id_2), record_id_1 < record_id_2: all pairs of records that denote one location.
+
+    The pairs are those within the classes of location_members, which is the form to use where a location may hold very many
+    records; here every pair is asked for.
+    """
+    at = _located(users, linked)
+    parts = ["locality", "street", "number", "unit"]
+    a = at.select(F.col("record_id").alias("record_id_1"), "location", *[F.col(c).alias(f"_{c}") for c in parts])
     b = at.withColumnRenamed("record_id", "record_id_2")
-    same = (a["_k"] == b["_k"]) & (F.col("_locality") == F.col("locality")) & (F.col("_street") == F.col("street")) & (F.col("_number") == F.col("number")) & (F.col("_unit") == F.col("unit")) & (F.col("record_id_1") < F.col("record_id_2"))
+    same = (a["location"] == b["location"]) & (F.col("record_id_1") < F.col("record_id_2"))
+    for c in parts:
+        same = same & (F.col(f"_{c}") == F.col(c))
     return a.join(b, same).select("record_id_1", "record_id_2")

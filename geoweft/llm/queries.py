@@ -110,6 +110,12 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return addresses.same_location(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
 
 
+@query("p4_members")
+def p4_members(spark: SparkSession, directory: str) -> DataFrame:
+    """The class of records that denote one location, with the number of links, for every record with an address."""
+    return addresses.location_members(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"))
+
+
 @query("p4_resolved")
 def p4_resolved(spark: SparkSession, directory: str) -> DataFrame:
     """The location that every address record denotes."""
