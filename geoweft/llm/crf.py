@@ -9,8 +9,8 @@ import numpy as np
 #: Offsets at which a token sees the features of the words around it, and those of the detectors.
 WORD_OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 MARK_OFFSETS = (-1, 0, 1)
-#: Longest piece that is decoded at once, and the tokens around it that are decoded with it.
-PIECE, HALO = 400, 24
+#: Tokens, padding included, that go through Viterbi at once; a longer sequence goes alone.
+BATCH_TOKENS = 1 << 17
 #: Words and sets of marks whose scores are kept per worker.
 BANK = 200_000
 _EDGE = "<edge>"
@@ -172,32 +172,29 @@ class Crf:
         return [out[a:b] for a, b in spans]
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """Best label numbers of each sequence. Sequences are cut into pieces with a halo on either side and go through
-        Viterbi in batches of like lengths; nothing of a long sequence is left out."""
-        pieces = []
-        for s, e in enumerate(emissions):
-            for at in range(0, len(e), PIECE):
-                lo, hi = max(0, at - HALO), min(len(e), at + PIECE + HALO)
-                pieces.append((hi - lo, s, at, lo, hi))
-        pieces.sort()
-        out = [np.zeros(len(e), int) for e in emissions]
-        for k in range(0, len(pieces), 256):
-            group = pieces[k : k + 256]
-            t_max = group[-1][0]
-            scores = np.zeros((len(group), t_max, len(self.labels)))
-            lengths = np.array([g[0] for g in group])
-            for r, (n, s, _, lo, hi) in enumerate(group):
-                scores[r, :n] = emissions[s][lo:hi]
-            for r, path in enumerate(self._viterbi(scores, lengths)):
-                n, s, at, lo, hi = group[r]
-                end = min(at + PIECE, len(out[s]))
-                out[s][at:end] = path[at - lo : end - lo]
+        """Best label numbers of each sequence: exact Viterbi over whole sequences, in batches of like lengths."""
+        order = sorted(range(len(emissions)), key=lambda s: len(emissions[s]))
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(emissions)
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(emissions[order[end]]) <= BATCH_TOKENS:
+                end += 1
+            group, at = order[at:end], end
+            lengths = np.array([len(emissions[s]) for s in group])
+            if not lengths[-1]:
+                continue
+            scores = np.zeros((len(group), lengths[-1], len(self.labels)))
+            for r, s in enumerate(group):
+                scores[r, : lengths[r]] = emissions[s]
+            for s, n, path in zip(group, lengths, self._viterbi(scores, lengths), strict=True):
+                out[s] = path[:n]
         return out
 
     def _viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         b, t_max, n = scores.shape
         best = scores[:, 0] + self.start
-        back = np.zeros((b, t_max, n), np.int16)
+        back = np.zeros((b, t_max, n), np.int8)
         for t in range(1, t_max):
             joint = best[:, :, None] + self.transitions
             back[:, t] = joint.argmax(axis=1)

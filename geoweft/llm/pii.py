@@ -75,8 +75,17 @@ DETECTORS = {
     "last_first": re.compile(rf"(?<![\w’'@.\-])(?=((?:(?:van\s+der|van|de\s+la|d[eé]\s+l[aá]|von|al)[\s\-]+)?[^\W\d_a-zß-öø-ÿ]{_NAME},\s[^\W\d_a-zß-öø-ÿ]{_NAME}))"),
     "ten_digits": re.compile(r"(?<![\w.\-/@])[2-9]\d{2}555\d{4}(?![\w@])"),
 }
-_NEED = {"mail": ("@",), "mail_words": ("at]", "at)", "at}", " at "), "element": ("n", "w", "r"), "de_address": ("str", "weg", "platz", "allee", "gasse"), "fr_address": ("rue", "avenue", "boulevard", "place", "allée", "quai", "chemin"), "es_address": ("calle", "avenida", "plaza", "paseo", "c/")}
-_NEED_DIGITS = frozenset(DETECTORS) - {"mail", "mail_words", "full_name", "initial_name", "last_first", "stop", "nick"}
+# What a text must hold for a detector to match, in small letters; without i, k and s, which match more than their small letters.
+_NEED = {
+    "mail": ("@",), "mail_words": ("at",), "element": ("n", "w", "r"), "de_address": ("tr", "weg", "platz", "allee", "ga"), "fr_address": ("rue", "aven", "boulevard", "place", "allée", "qua", "chem"),
+    "es_address": ("calle", "aven", "plaza", "pa", "c/"), "last_first": (",",), "initial_name": (".",),
+}
+_NEED_DIGITS = frozenset(DETECTORS) - {"mail", "mail_words", "full_name", "initial_name", "last_first", "stop", "uuid"}
+
+
+def may_match(name: str, low: str, digits: bool) -> bool:
+    """False only if the detector can't match a text whose lower() is low and which has digits or not."""
+    return (digits or name not in _NEED_DIGITS) and (name not in _NEED or any(n in low for n in _NEED[name]))
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
@@ -124,8 +133,7 @@ def detector_marks(text: str, tokens: list[tuple[str, int, int]]) -> list[tuple[
     starts = [s for _, s, _ in tokens]
     digits, low = any(c.isdigit() for c in text), text.lower()
     for name, pattern in DETECTORS.items():
-        # what a detector can't do without is looked for first
-        if (name in _NEED_DIGITS and not digits) or (name in _NEED and not any(n in low for n in _NEED[name])):
+        if not may_match(name, low, digits):
             continue
         for m in pattern.finditer(text):
             begin, end = m.span(1) if name == "last_first" else m.span()
