@@ -7,7 +7,10 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Offsets at which a token sees the features of the words around it, and those of the detectors.
-WORD_OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+WORD_OFFSETS = (-2, -1, 0, 1, 2)
+#: Features that name a word, its ends or a list it is in. In training those of a word are left out together this often, so that
+#: shapes, usage and marks learn to decide without them; features that are seen less than LEAST times are never used.
+LEXICAL, LEFT_OUT, LEAST = ("w=", "e=", "a=", "in=given"), 0.5, 4
 MARK_OFFSETS = (-1, 0, 1)
 #: Tokens, padding included, that go through Viterbi at once; a longer sequence goes alone.
 BATCH_TOKENS = 1 << 17
@@ -67,11 +70,15 @@ class Crf:
 
     def fit(self, sentences: list[tuple[list[str], list[tuple], list[int]]], epochs: int = 12, batch: int = 64, rate: float = 0.25, l2: float = 1e-4, seed: int = 5) -> "Crf":
         """sentences: (words, marks, label numbers). Deterministic for a seed."""
-        rows = [(self._ids(w, m, True), y) for w, m, y in sentences if w]
+        rows = self._without_rare([(self._ids(w, m, True), y) for w, m, y in sentences if w])
         n_labels, pad = len(self.labels), len(self.index)
-        w = np.zeros((pad + 1, n_labels))
+        w = np.zeros((pad + 1, n_labels), np.float32)
         seen_w, seen_t, seen_s = np.full_like(w, 1e-8), np.full((n_labels, n_labels), 1e-8), np.full(n_labels, 1e-8)
         rng = np.random.default_rng(seed)
+        lexical = np.full(pad + 1, len(WORD_OFFSETS))  # number of the offset at which a feature names a word, else one more
+        for (kind, offset, feature), i in self.index.items():
+            if kind == "w" and feature.startswith(LEXICAL):
+                lexical[i] = WORD_OFFSETS.index(offset)
         order = np.arange(len(rows))
         width = max(len(i) for r, _ in rows for i in r)
         for _ in range(epochs):
@@ -89,6 +96,9 @@ class Crf:
                     for t, i in enumerate(r):
                         ids[k, t, : len(i)] = i
                     y[k, : len(r)], mask[k, : len(r)] = labels, True
+                left_out = np.zeros((b, t_max, len(WORD_OFFSETS) + 1), bool)
+                left_out[:, :, :-1] = rng.random((b, t_max, len(WORD_OFFSETS))) < LEFT_OUT
+                ids[np.take_along_axis(left_out, lexical[ids], axis=2)] = pad
                 w[pad] = 0
                 scores = w[ids].sum(axis=2)
                 node, edge, first = self._expected(scores, mask)
@@ -111,6 +121,14 @@ class Crf:
         self.weights = w[:pad]
         return self
 
+    def _without_rare(self, rows: list) -> list:
+        """The rows without the rare features, which leave the index."""
+        counts = np.bincount(np.concatenate([np.array(i) for r, _ in rows for i in r]), minlength=len(self.index))
+        kept = {key: n for n, (key, i) in enumerate((k, i) for k, i in self.index.items() if counts[i] >= LEAST)}
+        new = {i: kept[key] for key, i in self.index.items() if key in kept}
+        self.index = kept
+        return [([[new[i] for i in ids if i in new] for ids in r], y) for r, y in rows]
+
     def _expected(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected label counts per token, per pair of neighbours, and of first tokens (forward-backward)."""
         b, t_max, n = scores.shape

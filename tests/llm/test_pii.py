@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -32,28 +33,68 @@ def test_viterbi_and_marginals_against_brute_force():
     assert np.allclose(node[0], want) and np.isclose(edge.sum(), 4) and np.allclose(first[0], want[0])
 
 
-def test_long_sequences_are_decoded_whole():
-    crf = Crf(["O", "B"], lambda w: [w])
-    crf.transitions, crf.start = np.zeros((2, 2)), np.zeros(2)
-    e = np.random.default_rng(2).normal(size=(3000, 2))
-    assert (crf.decode([e, e[:7]])[0] == e.argmax(axis=1)).all()
-
-
-def test_held_out_accuracy(model):
-    """Rows of another seed, so other names, numbers and mixes of sentences than those of the training."""
-    hit = dict.fromkeys(pii.KINDS, 0)
-    missed, wrong = dict(hit), dict(hit)
-    test = labelled_table(sorted(GIVEN), 500, 4242)
-    for (_, want), got in zip(test, pii.find(model, [t for t, _ in test]), strict=True):
-        for kind, *_ in set(want) & set(got):
-            hit[kind] += 1
-        for kind, *_ in set(want) - set(got):
-            missed[kind] += 1
-        for kind, *_ in set(got) - set(want):
-            wrong[kind] += 1
-    for kind in pii.KINDS:
-        least = 0.9 if kind == "person_name" else 0.97
-        assert hit[kind] / (hit[kind] + missed[kind]) >= least and hit[kind] / (hit[kind] + wrong[kind]) >= least, (kind, hit, missed, wrong)
+def test_long_sequences_are_decoded_exactly():
+    rng = np.random.default_rng(2)
+    crf = Crf(["O", "B", "I"], lambda w: [w])
+    crf.transitions, crf.start = 3 * np.eye(3), np.zeros(3)
+    lines = [0.3 * rng.normal(size=(n, 3)) for n in [*rng.integers(1, 30, 40), *[2000] * 20, 9000, 0]]
+    for e, got in zip(lines, crf.decode(lines), strict=True):
+        best, back = e[:1].sum(axis=0), []
+        for row in e[1:]:
+            joint = best[:, None] + crf.transitions
+            back.append(joint.argmax(axis=0))
+            best = joint.max(axis=0) + row
+        path = [int(best.argmax())] if len(e) else []
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert list(got) == path[::-1]
+
+
+def test_pre_tests_never_skip_a_match():
+    rng = random.Random(7)
+    parts = ["at", "AT", "[at]", "(At)", "dot", ".", "@", " ", "\t", "\xa0", "\n", "a", "Jo", "example", "com", "12", "7", "0", "555", "1234", "-", "/", "+", "(", ")", "rue", "RUE", "calle", "Paſeo", "Paseo", "chemİn", "ſtraße", "STR", "weg", "gaſſe", "Platz", "c/", "n12345", "W99999", "x", "St", "Main", ",", "#", "[12:30] x:", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "http://x.y", "www.a", "http:/", "Grill", "O'Neill", "J."]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        low, digits = text.lower(), any(c.isdigit() for c in text)
+        for name, pattern in pii.DETECTORS.items():
+            assert pii.may_match(name, low, digits) or not pattern.search(text), (name, text)
+
+
+def test_usage_of_words(spark):
+    texts = ["Dear Orla Kelvin, the bus is late.", "Orla Kelvin and Tobin Kelvin live in Maple Street, not in maple wood", "Mosken Grill; Mosken Grill, Mosken Bakery", "the Maple Street bus; Maple Road", None, "", "a 1 — 'é' ſ É"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    names = spark.createDataFrame([("Orla",), ("Tobin ",), (None,)], "given_name string")
+    got = pii.usual_words(docs, names)
+    assert got == pii._usual_in([t for t in texts if t], frozenset({"orla", "tobin"}))
+    assert "u=family" in got["kelvin"] and "u=given" in got["orla"] and "u=street" in got["maple"] and "u=trade" in got["mosken"] and got["bus"] == ("u=3s",)
+
+
+#: Least recall and precision on held-out frames, names, streets and towns.
+HELD_OUT = {"email": (0.95, 0.95), "phone": (0.9, 0.9), "id_number": (0.9, 0.9), "street_address": (0.9, 0.9), "person_name": (0.65, 0.8)}
+
+
+def test_held_out_frames_and_lists():
+    """A model that never saw a fifth of the frames, names, streets, towns and words, measured on sentences of these alone."""
+    model = pii.trained(GIVEN, held=False)
+    test = labelled_table([], 600, 4242, held=True)
+    model = pii.fitted(model, GIVEN, pii._usual_in([t for t, _ in test], GIVEN))
+    want = {(i, *span) for i, (_, spans) in enumerate(test) for span in spans}
+    got = {(i, *span) for i, spans in enumerate(pii.find(model, [t for t, _ in test])) for span in spans}
+    for kind, (recall, precision) in HELD_OUT.items():
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        print(kind, len(w), round(len(w & g) / len(w), 3), round(len(w & g) / len(g), 3))
+        assert len(w & g) >= recall * len(w) and len(w & g) >= precision * len(g), kind
+
+
+def test_sentences_of_another_hand(model):
+    wanted = {
+        "Maria Gonzalez drove over to check the gate.": ("person_name", "Maria Gonzalez"), "Please ask for Jürgen Klopp at the desk.": ("person_name", "Jürgen Klopp"), "My cell is 4158675309": ("phone", "4158675309"), "221B Baker Street is a museum.": ("street_address", "221B Baker Street"),
+        "Send it to tom.hanks@gmail.com today": ("email", "tom.hanks@gmail.com"), "SSN 078-05-1120 was leaked": ("id_number", "078-05-1120"), "call 415-867-5309 now": ("phone", "415-867-5309"), "passport X1234567 expired": ("id_number", "X1234567"), "I spoke with Priya Sharma about the invoice.": ("person_name", "Priya Sharma"),
+        "He lives at 1600 Pennsylvania Ave.": ("street_address", "1600 Pennsylvania Ave"), "Regards, Chloé Dupont": ("person_name", "Chloé Dupont"), "O. Nakamura wrote the report.": ("person_name", "O. Nakamura"), "john\tat\texample.com": ("email", "john\tat\texample.com"), "Order 4158675309 shipped": None, "The bridge is closed on Monday.": None,
+    }
+    found = [{(k, t[s:e]) for k, s, e in f} for t, f in zip(wanted, pii.find(model, list(wanted)), strict=True)]
+    right = sum(f == ({w} if w else set()) for f, w in zip(found, wanted.values(), strict=True))
+    assert right >= 13, list(zip(wanted, found, strict=True))
 
 
 def test_spans_and_redaction(model):
