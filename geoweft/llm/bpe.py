@@ -3,7 +3,8 @@
 The encoding of a byte string by merge rules has one last token for each of its prefixes, and that token follows from the
 prefixes before it: it is the one token that ends there and may stand after the last token of the prefix it leaves. So the
 transducer keeps, for the positions of a window, the last token of the prefix that ends there. Tokens form a tree of paths
-back from those positions; what all paths of the window share can't change any more, whatever follows, and is emitted.
+back from those positions; what all paths of the window share can't change any more, whatever follows, and is emitted. What
+lies further back than the merge list's sufficient lookahead can't change either, so the window stays bounded.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import codecs
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.session import spread
@@ -64,14 +66,25 @@ class Vocabulary:
         self.longest = max(map(len, self.id_of))
         self._pairs: dict[tuple[int, int], bool] = {}
 
+    @cached_property
     def lookahead(self) -> int:
-        """Bytes after a border from which on no merge can reach back to it.
+        """Bytes after a border from which on nothing that follows can move it: the sufficient lookahead of the merge list.
 
-        A merge sets off a change beside it only through a rule of later rank, so a change wanders over no more tokens than
-        there are rules, each of at most ``longest`` bytes. This is the bound in the merge list; the transducer looks at the
-        paths of its window and emits as soon as they agree, which is far sooner.
+        Two texts that differ from some byte on are merged alike to its left until a rule joins the leftmost token that differs
+        with the one before it, or doesn't. reach[t] is how many bytes the difference can still travel to the left from a
+        leftmost differing token t: a rule (p, t) carries it over p, after which p or p + t is the leftmost; a rule (t, q) makes
+        t + q the leftmost; each needs a later rule than the one before, as of equal rules the left one goes first. So one pass
+        over the rules from the last to the first gives the greatest reach, and that from a single byte is the answer.
         """
-        return len(self.rule) * self.longest
+        reach = dict.fromkeys(self.bytes_of, 0)
+        rules = sorted(((rank, p, q) for (p, q), rank in self.rule.items()), reverse=True)
+        for _, p, q in rules:
+            whole = self.id_of.get(self.bytes_of[p] + self.bytes_of[q])
+            grown = reach[whole] if whole is not None else 0
+            carried = len(self.bytes_of[p]) + max(reach[p], grown)
+            reach[p] = max(reach[p], grown)
+            reach[q] = max(reach[q], carried)
+        return max(r for t, r in reach.items() if len(self.bytes_of[t]) == 1)
 
     def may_follow(self, a: int, b: int) -> bool:
         """True if the encoding of bytes(a) + bytes(b) is [a, b]."""
@@ -147,10 +160,15 @@ class Transducer:
         return out
 
     def _emit(self) -> list[int]:
+        """Tokens up to the last border that can't move: the last one all paths share, or that with the lookahead behind it. The
+        second keeps the window within the lookahead and a few tokens, whatever the text is."""
         n = len(self.window)
-        shared: set[int] = set(range(1, n + 1))
+        # the next token may begin after any of the last bytes, or where the window does if it is short
+        shared: set[int] = set(range(1, n + 1)) if n >= self.v.longest else set()
         for end in range(max(1, n - self.v.longest + 1), n + 1):
             shared &= {end, *(begin for begin, _ in self._path(end))}
+        if n > self.v.lookahead:
+            shared |= {begin for begin, _ in self._path(n) if 0 < begin <= n - self.v.lookahead}
         if not shared:
             return []
         border = max(shared)
@@ -253,14 +271,29 @@ class Decoder:
 
 @lru_cache(4)
 def load(folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> Encoder:
-    """The encoder of a vocabulary file, one per Python worker."""
-    return Encoder(Vocabulary(os.path.join(folder, name + ".json")))
+    """The encoder of a vocabulary file, one per Python worker; of the file that was sent where the folder isn't there."""
+    path = os.path.join(folder, name + ".json")
+    return Encoder(Vocabulary(path if os.path.exists(path) else SparkFiles.get(name + ".json")))
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def _send(folder: str, name: str) -> None:
+    """Sends the vocabulary file from the driver to all executors, once per application."""
+    context = SparkSession.active().sparkContext
+    path = os.path.join(folder, name + ".json")
+    if (context.applicationId, path) not in _sent:
+        context.addFile(path)
+        _sent.add((context.applicationId, path))
 
 
 def token_ids(text: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> Column:
     """array<int> of the ids; the empty array for null and empty text. No special token is ever made: their strings in a
     text are ordinary text. Text is processed whole, whatever its length."""
 
+    _send(folder, name)
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load(folder, name)
@@ -273,6 +306,8 @@ def token_ids(text: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY)
 def token_count(text: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> Column:
     """bigint number of ids; 0 for null and empty text."""
 
+    _send(folder, name)
+
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load(folder, name)
@@ -285,6 +320,8 @@ def token_count(text: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULAR
 def decoded(ids: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> Column:
     """Text of an array of ids; null for null."""
 
+    _send(folder, name)
+
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = load(folder, name).v
@@ -297,3 +334,8 @@ def decoded(ids: Column, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) ->
 def encoded_corpus(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids), one row per row of documents."""
     return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), folder, name).alias("ids"))
+
+
+def round_trip(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text): every text decoded from its ids; the empty text for null."""
+    return encoded_corpus(documents, folder, name).select("doc_id", decoded(F.col("ids"), folder, name).alias("text"))

@@ -92,6 +92,12 @@ def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.encoded_corpus(table(spark, directory, "documents"))
 
 
+@query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark: SparkSession, directory: str) -> DataFrame:
+    """Every text decoded from its ids."""
+    return bpe.round_trip(table(spark, directory, "documents"))
+
+
 @query("p8_mix")
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
     """Documents of the mix with their number of uses."""

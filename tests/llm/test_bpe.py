@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -45,13 +46,77 @@ def test_memory_is_bounded_and_every_token_is_its_own_encoding():
     for _ in range(200):
         t.feed(b"ab" * 500)
         assert len(t.window) <= 16 * v.longest
-    assert v.lookahead() == len(v.rule) * v.longest
+        assert len(t.window) <= v.lookahead + 5 * v.longest
     for b, i in list(v.id_of.items())[::7]:
         t = bpe.Transducer(v)
         t._advance(b)
         assert t.finish() == [i]
 
 
+def naive(rules, text):
+    """Merges by the rules in order, each from left to right."""
+    parts = list(text)
+    for a, b in rules:
+        i = 0
+        while i + 1 < len(parts):
+            if (parts[i], parts[i + 1]) == (a, b):
+                parts[i : i + 2] = [a + b]
+            i += 1
+    return parts
+
+
+def small_vocabulary(tmp_path, rules):
+    tokens = sorted({c for r in rules for c in "".join(r)}) + [a + b for a, b in rules]
+    path = tmp_path / f"v{abs(hash(tuple(rules)))}.json"
+    path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(r) for r in rules]}}))
+    return bpe.Vocabulary(str(path))
+
+
+def merge_lists():
+    # a chain: what follows decides how all the letters before it pair up
+    yield [(c, d) for c, d in zip("fedcb", "gfedc", strict=True)]
+    yield [("a", "a"), ("aa", "aa"), ("aaaa", "aaaa"), ("aaaa", "b"), ("aa", "b"), ("a", "b")]
+    rng = random.Random(12)
+    for _ in range(60):
+        tokens, rules = list("abc"), []
+        for _ in range(rng.randint(2, 14)):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            if "".join(pair) not in tokens:
+                rules.append(pair)
+                tokens.append("".join(pair))
+        # as in a trained merge list, every token is its own encoding
+        while bad := [r for r in rules if naive(rules, "".join(r)) != ["".join(r)]]:
+            lost = "".join(bad[-1])
+            rules = [r for r in rules if lost not in ("".join(r), *r)]
+        if rules:
+            yield rules
+
+
+def test_lookahead_is_sufficient_and_bounds_the_window(tmp_path):
+    rng, reached = random.Random(3), 0
+    for rules in merge_lists():
+        v = small_vocabulary(tmp_path, rules)
+        letters = sorted({c for r in rules for c in "".join(r)})
+        for _ in range(40):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+            borders = []
+            for more in ["", *["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(12)]]:
+                at, ends = 0, set()
+                for t in naive(rules, text + more):
+                    at += len(t)
+                    ends.add(at)
+                borders.append(ends)
+            moved = [e for ends in borders for e in ends ^ borders[0] if e < len(text)]
+            assert all(len(text) - e < v.lookahead or len(text) - e <= 0 for e in moved), (rules, text)
+            reached = max(reached, max((len(text) - e for e in moved), default=0))
+            t, got = bpe.Transducer(v), []
+            for c in text:
+                got += t.feed(c.encode())
+                assert len(t.window) <= v.lookahead + v.longest + 1
+            assert [v.bytes_of[i].decode() for i in got + t.finish()] == naive(rules, text)
+    assert reached > 2
+
+
 def test_round_trip_and_frames(spark):
     long = "wörd 漢字 🙂 " * 20_000
     df = spark.createDataFrame([(1, "Hello  world", 0), (2, None, 0), (3, "", 0), (4, long, 0), (4, long, 0)], "doc_id long, text string, ids int")
