@@ -48,8 +48,8 @@ class Crf:
 
     # features
 
-    def _ids(self, words: list[str], marks: list[tuple], grow: bool) -> list[list[int]]:
-        per_word = [self.word_features(w) for w in words]
+    def _ids(self, words: list[str], marks: list[tuple], grow: bool, features: Callable | None = None) -> list[list[int]]:
+        per_word = [(features or self.word_features)(w) for w in words]
         out = []
         for t in range(len(words)):
             ids = []
@@ -68,9 +68,9 @@ class Crf:
 
     # training
 
-    def fit(self, sentences: list[tuple[list[str], list[tuple], list[int]]], epochs: int = 12, batch: int = 64, rate: float = 0.25, l2: float = 1e-4, seed: int = 5) -> "Crf":
-        """sentences: (words, marks, label numbers). Deterministic for a seed."""
-        rows = self._without_rare([(self._ids(w, m, True), y) for w, m, y in sentences if w])
+    def fit(self, sentences: list[tuple[list[str], list[tuple], list[int]]], epochs: int = 12, batch: int = 64, rate: float = 0.25, l2: float = 1e-4, seed: int = 5, other_features: Callable | None = None) -> "Crf":
+        """sentences: (words, marks, label numbers). Every second one has the other features, if given. Deterministic for a seed."""
+        rows = self._without_rare([(self._ids(w, m, True, other_features if i % 2 else None), y) for i, (w, m, y) in enumerate(sentences) if w])
         n_labels, pad = len(self.labels), len(self.index)
         w = np.zeros((pad + 1, n_labels), np.float32)
         seen_w, seen_t, seen_s = np.full_like(w, 1e-8), np.full((n_labels, n_labels), 1e-8), np.full(n_labels, 1e-8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -81,8 +82,6 @@ DETECTORS = {
     "es_address": re.compile(r"(?<!\w)(?:calle|avenida|plaza|paseo|c/)\s*(?:(?:de|del)\s+(?:la\s+)?)?[^\W\d_][\w’'\-]*,?\s+(?:n\.?º\s*)?\d{1,4}(?!\w)", re.I),
     "full_name": re.compile(rf"(?<![\w’'@.\-])[^\W\d_a-zß-öø-ÿ]{_NAME}\s+(?:[^\W\d_]\.\s*)?(?:(?:van\s+der|van|de\s+la|d[eé]\s+l[aá]|von|al)[\s\-]+)?(?:[^\W\d_a-zß-öø-ÿ]{_NAME})"),
     "initial_name": re.compile(rf"(?<![\w’'@.\-])[A-Z]\.\s*(?:(?:van\s+der|van|de\s+la|d[eé]\s+l[aá]|von|al)[\s\-]+)?[^\W\d_a-zß-öø-ÿ]{_NAME}"),
-    "street_name": re.compile(rf"(?<![\w’'@.\-])(?:[^\W\d_a-zß-öø-ÿ]{_NAME}|\d{{1,3}}(?:st|nd|rd|th))(?:\s+[^\W\d_a-zß-öø-ÿ]{_NAME})?\s+(?:{_TYPES})\b", re.I),
-    "trade_name": re.compile(rf"(?<![\w’'@.\-])[^\W\d_]{_NAME}(?:\s+(?:(?:and|II|III|&)\s+)?[^\W\d_]{_NAME}){{0,3}}?\s+(?:{'|'.join(sorted(TRADES))})\b(?:\s+(?:{'|'.join(sorted(TRADES))}|&|and)\b)*", re.I),
     "link": re.compile(r"\b(?:https?://|www\.)\S+", re.I),
     "hours": re.compile(r"\b\d{1,2}:\d\d(?::\d\d)?(?:-\d{1,2}:\d\d)?\b"),
     # found at every word, as the word before a name may look like a family name
@@ -106,7 +105,7 @@ _NEED = {
     "mail": ("@",), "mail_words": ("at",), "element": ("n", "w", "r"), "de_address": ("tr", "weg", "platz", "allee", "ga"), "fr_address": ("rue", "aven", "boulevard", "place", "allée", "qua", "chem"),
     "es_address": ("calle", "aven", "plaza", "pa", "c/"), "last_first": (",",), "initial_name": (".",),
 }
-_NEED_DIGITS = frozenset(DETECTORS) - {"mail", "mail_words", "full_name", "initial_name", "last_first", "begin", "stop", "uuid", "street_name", "trade_name", "link"}
+_NEED_DIGITS = frozenset(DETECTORS) - {"mail", "mail_words", "full_name", "initial_name", "last_first", "begin", "stop", "uuid", "link"}
 
 
 def may_match(name: str, low: str, digits: bool) -> bool:
@@ -133,10 +132,9 @@ def _shape(w: str) -> str:
 
 
 def usage(n: int, small: int, after_given: int, before_type: int, before_trade: int, before_family: int) -> tuple[str, ...]:
-    """What the corpus says of a word: how usual it is and how it is mostly written, and whether it mostly stands behind given
+    """What the corpus says of a word: how it is mostly written, and whether it mostly stands behind given
     names, before street types, before trades, or before words that stand behind given names."""
-    power = "1" if n >= 200 else "2" if n >= 30 else "3"
-    out = ["u=" + power + ("s" if small >= 0.6 * n else "m" if small >= 0.1 * n else "c")]
+    out = ["u=small" if small >= 0.6 * n else "u=mixed" if small >= 0.1 * n else "u=capital"]
     out += ["u=" + name for name, k in (("family", after_given), ("street", before_type), ("trade", before_trade), ("given", before_family)) if k >= MOSTLY * n]
     return tuple(out)
 
@@ -235,6 +233,15 @@ def detector_marks(text: str, tokens: list[tuple[str, int, int]]) -> list[tuple[
                 marks[i].append(f"{name}:B" if i == lo else f"{name}:I")
             if hi > lo:
                 marks[hi - 1].append(f"{name}:E")
+    for i, (word, _, _) in enumerate(tokens):
+        kind = "street_name" if word.lower() in TYPE_OF else "trade_name" if word.lower() in TRADES else None
+        if kind:  # up to three words with a capital, or an ordinal number, before a street type or a trade
+            first = i
+            while first > 0 and i - first < 3 and (tokens[first - 1][0][0].isupper() or tokens[first - 1][0] in ("&", "and") or (tokens[first - 1][0].isdigit() and tokens[first - 1][2] == tokens[first][1])):
+                first -= 1
+            for j in range(first, i + 1):
+                marks[j].append(f"{kind}:{'B' if j == first else 'I'}")
+            marks[i].append(f"{kind}:E")
     return [tuple(m) for m in marks]
 
 
@@ -250,7 +257,10 @@ def trained(given: frozenset[str], rows: int = TRAINING_ROWS, seed: int = SEED,
             labels.append(0 if inside is None else LABELS.index(("B-" if s == inside[1] else "I-") + inside[0]))
         sentences.append(([w for w, _, _ in tokens], detector_marks(text, tokens), labels))
     usual = _usual_in([t for t, _ in table], given)
-    crf = Crf(LABELS, word_features(given, usual)).fit(sentences, epochs=EPOCHS)
+    # half of the sentences know the usage of half of the words, as a corpus of another size does
+    some = random.Random(seed)
+    fewer = {w: u for w, u in usual.items() if some.random() < 0.5}
+    crf = Crf(LABELS, word_features(given, usual)).fit(sentences, epochs=EPOCHS, other_features=word_features(given, fewer))
     crf.usual = usual
     return crf
 
@@ -266,16 +276,16 @@ _LINE = re.compile(r"[^\n\r]+")
 
 
 def find(model: Crf, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-    """(kind, start, end) of every place of each text, in code points. Lines are decoded apart, whole texts line by line."""
-    lines, sequences = [], []
+    """(kind, start, end) of every place of each text, in code points. Lines are decoded apart, whole texts line by line, and
+    equal lines once."""
+    lines: dict[str, list[tuple[int, int]]] = {}
     for i, text in enumerate(texts):
         for m in _LINE.finditer(text or ""):
-            tokens = tokenize(m.group())
-            if tokens:
-                lines.append((i, m.start(), tokens))
-                sequences.append(([w for w, _, _ in tokens], detector_marks(m.group(), tokens)))
+            lines.setdefault(m.group(), []).append((i, m.start()))
+    tokenized = [(where, tokens, text) for text, where in lines.items() if (tokens := tokenize(text))]
+    sequences = [([w for w, _, _ in tokens], detector_marks(text, tokens)) for _, tokens, text in tokenized]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, at, tokens), path in zip(lines, model.decode(model.emissions(sequences)), strict=True):
+    for (where, tokens, _), path in zip(tokenized, model.decode(model.emissions(sequences)), strict=True):
         kind, start, end = None, 0, 0
         for (w, s, e), y in zip([*tokens, ("", -1, -1)], [*path, 0], strict=True):
             label = LABELS[y]
@@ -283,11 +293,12 @@ def find(model: Crf, texts: list[str | None]) -> list[list[tuple[str, int, int]]
                 end = e
                 continue
             if kind:
-                out[i].append((kind, at + start, at + end))
+                for i, at in where:
+                    out[i].append((kind, at + start, at + end))
                 kind = None
             if label != "O":
                 kind, start, end = label[2:], s, e
-    return out
+    return [sorted(found, key=lambda f: f[1]) for found in out]
 
 
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pii_kind", T.StringType()), T.StructField("char_start", T.LongType()), T.StructField("char_end", T.LongType())])
@@ -334,8 +345,8 @@ def pii_places(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _restore(sent)
         for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo : lo + 1000]
                 rows = [(d, k, s, e) for d, found in zip(part["doc_id"], find(model, list(part["text"])), strict=True) for k, s, e in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "pii_kind", "char_start", "char_end"])
 
@@ -361,8 +372,8 @@ def redacted(documents: DataFrame, given_names: DataFrame) -> DataFrame:
         model = _restore(sent)
         for texts in batches:
             parts = []
-            for lo in range(0, len(texts), 200):
-                some = list(texts.iloc[lo : lo + 200])
+            for lo in range(0, len(texts), 1000):
+                some = list(texts.iloc[lo : lo + 1000])
                 parts += [redact(t, f) for t, f in zip(some, find(model, some), strict=True)]
             yield pd.Series(parts, dtype=object)
 

@@ -320,9 +320,12 @@ ACTS = "shows hides needs covers follows replaces breaks joins splits crosses mi
 PLAIN = (
     "The {1} of the {1} is {2}.|A {2} {1} {3} the {1}.|This {1} {3} every {1} twice.|No {1} was {2} before the {1}.|{4} and {1} were {2}, the {1} was not.|After the {1} the {1} stayed {2}.|Each {1} {3} one {1} only.|If the {1} is {2}, the {1} {3} it.|{4} of the {1} is {x}, {4} of the {1} {x}.|"
     "Thanks, the {1} {3} it now.|The {2} {1} took {n} days.|{4} {n} and {1} {n} are {2}.|Why is the {1} so {2}?|{5} {4} {3} the {1}.|{4}s with a {2} {1} fail.|Mo-Fr 09:00-17:30, {4} {2}.|{4}: {2}, {1}: {n}|The {w} {4} is a {2} {1}, not a {1}.|Only {n} of {n} {1}s were {2}; see {t}.|"
+    "{h}, {15} {3} the {1}.|{h}, {15} {3} it {n} times.|{4}, {15} {3} the {1}, {15} {3} a {1}.|{15} {3} {15}, see {t}.|{h} {15} {3} the {1}.|{7} {16} den {7}.|{6} {7} {16} den {7}, daher {16} der {7} die {7}.|{w} {v} {16} den {7} von {7}.|{16} {6} {7} den {7}?|Bitte {7} {16}, {8}.|{4} {v} {16} die {7}.|"
+    "La {9} de la {9} et le {9} du {9}.|El {11} de la {11} y la {11} del {11}.|{13} od {13} do {13}, {14}.|{h}, {6} {7} {16}.|{h}, le {9} de la {9}.|{h}, la {11} de {11}.|"
     "{6} {7} ist {8}.|{6} {7} hat {n} {7}, aber keine {7}.|{7} und {7} waren {8}, daher fehlt {6} {7}.|{7}: {n}, {7}: {x}|Le {9} est trop {10}.|La {9} de {c} n’a pas de {9}.|Les {9}s étaient {10}s hier.|El {11} está {12}.|La {11} no tiene {11}.|{11} y {11} estaban {12}s: {x}, {x}.|{13} jest {14}.|{13} i {13} są {14}."
 ).split("|")
 WORDS = {
+    "h": HAILS, "15": "that this it which what you we they he she I one all none both".split(), "16": "ändert zeigt verdeckt braucht teilt kreuzt ersetzt bricht hält bewegt lädt schreibt liest sortiert schließt öffnet verzögert trennt".split(),
     "1": NOUNS, "2": QUALITIES, "3": ACTS, "4": [w.capitalize() for w in NOUNS], "5": [w.capitalize() for w in QUALITIES], "6": "Der Die Das Eine Ein Jede Diese Unsere".split(),
     "7": "Brücke Liste Karte Datei Grenze Zeile Spalte Tür Straße Wand Dach Schule Post Kirche Halle Nummer Farbe Größe Breite Höhe Messung Prüfung Änderung Frage Antwort Woche Stunde Ecke Seite Stelle Wohnung Rechnung Lieferung Ausgabe Fassung".split(), "8": "alt neu leer falsch richtig spät offen zu kaputt verschoben vertauscht geprüft gelöscht doppelt gesperrt fertig".split(),
     "9": "pont liste carte fichier limite ligne colonne porte mur toit route école gare poste halle table mesure réponse question semaine lettre facture page couche tuile".split(), "10": "grand petit long court vide large lourd froid rapide ancien étroit".split(),
@@ -581,6 +584,10 @@ def _row(frame: str, f: _Filler) -> tuple[str, list[tuple[str, int, int]]]:
         if slot not in KIND_OF:
             text += f.plain(slot)
             continue
+        if slot in "NG" and len(frame) > 3 and f.chance(0.2):  # nobody where a name could stand, so that a verb alone tells nothing
+            nobody = f.pick([f.pick(f.words["15"]), f.pick(f.words["15"]), f"the {f.pick(f.words['1'])}", f"the {f.pick(f.words['2'])} {f.pick(f.words['1'])}", f"{f.pick(f.words['1'])}s", f.pick(f.words["4"]), f.pick(f.words["7"]), f"{f.pick(f.words['6']).lower()} {f.pick(f.words['7'])}", f"le {f.pick(f.words['9'])}", f"la {f.pick(f.words['11'])}"])
+            text += nobody if text and text[-1] == " " and f.chance(0.8) else nobody[0].upper() + nobody[1:]
+            continue
         if slot == "I":
             text += f.id_words()
         value = ({"P": f.phone, "I": f.id_alone, "J": f.id_alone}.get(slot) or getattr(f, slot))()
