@@ -241,11 +241,16 @@ def review_source_keys(source: DataFrame, key: str, selected: DataFrame, selecte
 
 
 def relate(source: DataFrame, key: str, output: DataFrame, output_key: str = "record_id") -> DataFrame:
-    """Source rows with the link of their key, one to one: of repeated output rows the best score counts."""
-    best = output.groupBy(F.col(output_key).alias("_k")).agg(F.max_by(F.struct("gers_id", "gers_match_score", "gers_link_review"), F.coalesce("gers_match_score", F.lit(-1.0))).alias("_o"))
+    """Source rows with the link of their key, one to one: of repeated output rows the best score counts, of equal scores
+    the last id."""
+    best = output.groupBy(F.col(output_key).alias("_k")).agg(F.max_by(F.struct("gers_id", "gers_match_score", "gers_link_review"), F.struct(F.coalesce("gers_match_score", F.lit(-1.0)).alias("s"), F.coalesce("gers_id", F.lit("")).alias("g"))).alias("_o"))
     return source.join(best, F.col(key).cast("string") == F.col("_k"), "left").select(*source.columns, "_o.gers_id", "_o.gers_match_score", "_o.gers_link_review")
 
 
+def _any_name(records: DataFrame) -> bool:
+    return not records.where(blank_to_null(F.col("name")).isNotNull()).isEmpty()
+
+
 @dataclass
 class LinkResult:
     candidates: DataFrame
@@ -259,11 +264,15 @@ def link(users: DataFrame, target: DataFrame, options: LinkOptions | None = None
     """The whole link. Fails fast where input is empty or the target lacks the columns it needs."""
     o = options or LinkOptions()
     records = user_records(users)
-    extent = _extent_of(records) if o.clip_to_extent else None
-    if o.clip_to_extent and extent is None:
+    if records.isEmpty():
         raise ValueError("no record has a record_id and a position")
+    extent = _extent_of(records) if o.clip_to_extent else None
     if extent is not None and o.buffer_extent:
         extent = extent.buffered(o.max_distance_m / 50_000.0)
+    if target.isEmpty():
+        raise ValueError("the target holds no rows")
+    if o.target == "places" and not first_existing_name(target, PLACE_STREET) and not _any_name(records):
+        raise ValueError("no record has a name, and the places have no address column")
     if o.target == "places":
         candidates = place_candidates(records, place_targets(target, extent), o)
     else:

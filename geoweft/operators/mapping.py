@@ -55,6 +55,13 @@ def preferred_id_field(fields: Iterable[str]) -> str | None:
     return likely[0] if likely else None
 
 
+def id_choice(fields: Iterable[str]) -> tuple[str | None, bool]:
+    """(field, generate): the durable key, or - where there is none - a row pointer if the layer has one, with generated ids."""
+    fields = [f for f in fields if f]
+    durable = preferred_id_field(fields)
+    return (durable, False) if durable else (next((f for f in fields if is_row_pointer(f)), None), True)
+
+
 def map_fields(fields: Iterable[str]) -> dict[str, str | None]:
     """Role -> field, None where no name fits."""
     by_key: dict[str, str] = {}

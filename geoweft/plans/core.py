@@ -114,9 +114,7 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return proximity.nearby(table(spark, directory, "gers_user_input"), table(spark, directory, "gers_output"), table(spark, directory, "division_area"))
 
 
-@query(
-    "p3_near",
-    """
+P3_NEAR_SQL = """
     SELECT DISTINCT u.record_id, o.record_id AS other_id
     FROM gers_user_input u JOIN gers_output o
       ON o.gers_match_distance_m BETWEEN 0 AND 75
@@ -124,8 +122,10 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     WHERE u.record_id IS NOT NULL AND o.record_id IS NOT NULL
       AND isfinite(u.longitude) AND isfinite(u.latitude) AND u.longitude BETWEEN -180 AND 180 AND u.latitude BETWEEN -90 AND 90
       AND isfinite(o.longitude) AND isfinite(o.latitude) AND o.longitude BETWEEN -180 AND 180 AND o.latitude BETWEEN -90 AND 90
-    """,
-)
+    """
+
+
+@query("p3_near", P3_NEAR_SQL)
 def p3_near(spark: SparkSession, directory: str) -> DataFrame:
     """The part of p3_found that plain SQL can express."""
     found = p3_found(spark, directory)

@@ -463,12 +463,12 @@ def user_extent(spark, directory):
     return rules.extent_of(table(spark, directory, "gers_user_input"))
 
 
-@query("union_by_name", "SELECT record_id AS id, name, CAST(NULL AS VARCHAR) AS dataset, CAST(longitude AS VARCHAR) IS NOT NULL AS has_value FROM gers_user_input UNION ALL SELECT id, NULL, dataset, update_time IS NOT NULL FROM gers_bridge")
+@query("union_by_name", "SELECT record_id AS id, name, CAST(NULL AS VARCHAR) AS dataset, round(longitude, 6) AS value FROM gers_user_input UNION ALL SELECT record_id, NULL, NULL, CAST(candidate_rank AS DOUBLE) FROM gers_candidates")
 def union_two(spark, directory):
     """Two tables of other columns, one of them of another type on either side."""
     a = table(spark, directory, "gers_user_input").select(F.col("record_id").alias("id"), "name", F.col("longitude").alias("value"))
-    b = table(spark, directory, "gers_bridge").select("id", "dataset", F.col("update_time").alias("value"))
-    return union_by_name([a, b]).select("id", "name", "dataset", F.col("value").isNotNull().alias("has_value"))
+    b = table(spark, directory, "gers_candidates").select(F.col("record_id").alias("id"), F.lit(None).cast("string").alias("dataset"), F.col("candidate_rank").alias("value"))
+    return union_by_name([a, b]).select("id", "name", "dataset", F.round("value", 6).alias("value"))
 
 
 @query("field_mapping")

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from geoweft.functions.wkb import CODES, bounds, decode, intersects_extent, to_geojson
 from geoweft.operators.extract import GEOMETRY_TYPE, geometry_type_counts
 from geoweft.options import Clock, Extent, LayerInfo
+from geoweft.session import cut
 
 # Rows of a row group, codecs, file suffixes of geometry types.
 ROW_GROUP = 100_000
@@ -79,12 +80,11 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         new = [m.name for m in messages if m and m.name]
-        if self.overwrite:
-            for f in os.listdir(self.path) if os.path.isdir(self.path) else []:
-                if f.endswith(".parquet") and f not in new:
-                    os.remove(os.path.join(self.path, f))
+        old = [f for f in os.listdir(self.path) if f.endswith(".parquet") and not f.startswith(".")] if self.overwrite and os.path.isdir(self.path) else []
         for i, name in enumerate(new):
             os.replace(os.path.join(self.path, name), os.path.join(self.path, f"part-{i:05d}-{name[6:]}"))
+        for f in old:  # only once the new files have their names
+            os.remove(os.path.join(self.path, f))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         for m in messages:
@@ -112,6 +112,16 @@ class GeoParquetSource(DataSource):
 
 
 def write_geoparquet(df: DataFrame, path: str, compression: str | None = "zstd", mode: str = "overwrite", row_group: int = ROW_GROUP) -> None:
+    """mode: overwrite, append, ignore or error (the last two do nothing or raise where Parquet files are)."""
+    if mode not in ("overwrite", "append", "ignore", "error", "errorifexists"):
+        raise ValueError(f"unknown mode {mode}")
+    local = path.removeprefix("file://")
+    if "://" in local:
+        raise ValueError("the writer needs a folder that all executors see as a path")
+    if mode not in ("overwrite", "append") and os.path.isdir(local) and any(f.endswith(".parquet") for f in os.listdir(local)):
+        if mode == "ignore":
+            return
+        raise FileExistsError(path)
     df.sparkSession.dataSource.register(GeoParquetSource)
     df.write.format("geoparquet").option("compression", codec(compression)).option("rowgroup", str(row_group)).mode("overwrite" if mode == "overwrite" else "append").save(path)
 
@@ -139,12 +149,13 @@ def write_by_geometry_type(df: DataFrame, out: str, layer: str, session: str | N
 
 def write_csv(df: DataFrame, path: str, single: bool = False, quote_all: bool = False, mode: str = "overwrite") -> None:
     """CSV with header and doubled quotes. single makes one file of a result whose size its caller knows to be small."""
-    (df.coalesce(1) if single else df).write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=quote_all)
+    (df.coalesce(1) if single else df).write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=quote_all, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_geocoded(df: DataFrame, path: str) -> int:
     """query, label, longitude, latitude, source, match, confidence, score; the written rows are counted again."""
     named = df.select("query", F.col("display_label").alias("label"), "longitude", "latitude", F.col("source_type").alias("source"), F.col("match_tier").alias("match"), "confidence", "score")
+    named = cut(named)  # counted and written, but geocoded once
     expected = named.count()
     write_csv(named, path, single=True, quote_all=True)
     written = df.sparkSession.read.csv(path, header=True, quote='"', escape='"', multiLine=True).count()
