@@ -17,7 +17,9 @@ from geoweft.session import cut
 # JSON type names, in lattice order. Whole numbers promote to decimal numbers; any other mix to text.
 KINDS = ("text", "whole", "decimal", "boolean", "list", "object")
 
-#: Distinct field names that may come to the driver for the union schema; more raise an error.
+#: Share of a column's values up to which those that are no lists of objects don't keep it from being a column of such lists.
+STRAY_SHARE = 0.05
+#: Distinct field names of datasets that may come to the driver for the union schema; more raise an error.
 MAX_FIELD_NAMES = 20_000
 
 
@@ -140,49 +142,80 @@ def join_kinds(a: str | None, b: str | None) -> str | None:
     return "decimal" if {a, b} == {"whole", "decimal"} else "text"
 
 
-def _renames(records: DataFrame) -> set[tuple[str, str]]:
-    return {(r.old_field, r.field) for r in schema_changes(records).where("change_kind = 'renamed'").select("old_field", "field").distinct().collect()}
+Names = dict[str | None, list[str]]
 
 
-def _folded(fields: DataFrame, renames: set[tuple[str, str]]) -> list[tuple[str, list[str], str]]:
-    """(column, names, kind) of the union of all files' fields of one level: dataset, file_seq, key and the counts of kinds."""
-    seen = fields.groupBy("key").agg(F.count("*").alias("files"), *[F.sum(f"n_{k}").alias(k) for k in KINDS]).limit(MAX_FIELD_NAMES + 1).collect()
+def _renames(records: DataFrame) -> set[tuple[str, str, str]]:
+    """(dataset, old field, new field) of all renamings."""
+    return {(r.dataset, r.old_field, r.field) for r in schema_changes(records).where("change_kind = 'renamed'").select("dataset", "old_field", "field").distinct().collect()}
+
+
+def file_kind(fields: DataFrame) -> DataFrame:
+    """fields with ``file_kind``: the prevailing kind of a file's field; decimal if whole and decimal numbers are both there, as
+    a decimal number is none of the strays that a file may hold."""
+    both = F.col("prevailing").isin("whole", "decimal") & (F.col("n_whole") > 0) & (F.col("n_decimal") > 0)
+    return fields.withColumn("file_kind", F.when(both, "decimal").otherwise(F.col("prevailing")))
+
+
+def _folded(fields: DataFrame, renames: set[tuple[str, str, str]]) -> list[tuple[str, Names, str]]:
+    """(column, names by dataset, kind) of the union of all files' fields of one level. Under None are the names of the datasets
+    that aren't listed.
+
+    The kinds that the files' schemas give a field are counted per dataset and key in tasks, so that the fold through the
+    lattice sees each distinct kind of a key once.
+    """
+    seen = file_kind(fields).groupBy("dataset", "key").agg(F.count("*").alias("files"), F.collect_set("file_kind").alias("kinds")).limit(MAX_FIELD_NAMES + 1).collect()
     if len(seen) > MAX_FIELD_NAMES:
         raise ValueError(f"more than {MAX_FIELD_NAMES} field names")
-    other = fields.select("dataset", "file_seq", F.col("key").alias("other"))
-    touched = sorted({n for pair in renames for n in pair})
+    touched = sorted({n for _, a, b in renames for n in (a, b)})
     together = set()
     if touched:
-        small = fields.where(F.col("key").isin(touched))
-        together = {(r.key, r.other) for r in small.join(other.where(F.col("other").isin(touched)), ["dataset", "file_seq"]).where("key < other").select("key", "other").distinct().collect()}
-    group = {r.key: [r.key] for r in seen}
-    for a, b in sorted(renames):
-        if a in group and b in group and group[a] is not group[b] and not any((min(x, y), max(x, y)) in together for x in group[a] for y in group[b]):
-            merged = sorted(group[a] + group[b])
+        small = fields.where(F.col("key").isin(touched)).select("dataset", "file_seq", "key")
+        pairs = small.join(small.withColumnRenamed("key", "other"), ["dataset", "file_seq"]).where("key < other")
+        together = {(r.dataset, r.key, r.other) for r in pairs.select("dataset", "key", "other").distinct().collect()}
+    files: dict[str, int] = {}
+    group: dict[tuple[str, str], list[str]] = {}
+    for r in seen:
+        files[r.key] = files.get(r.key, 0) + r.files
+        group[r.dataset, r.key] = [r.key]
+    for d, a, b in sorted(renames):
+        left, right = group.get((d, a)), group.get((d, b))
+        if left and right and left is not right and not any((d, min(x, y), max(x, y)) in together for x in left for y in right):
+            merged = sorted(left + right)
             for n in merged:
-                group[n] = merged
-    files = {r.key: r.files for r in seen}
-    kind_of = {r.key: [k for k in KINDS if r[k]] for r in seen}
+                group[d, n] = merged
+    best = lambda names: min(names, key=lambda n: (-files[n], n))
+    of: dict[str, Names] = {}
+    kinds: dict[str, str | None] = {}
+    for r in sorted(seen, key=lambda r: (r.dataset, r.key)):
+        names = group[r.dataset, r.key]
+        column = best(names)
+        if names != [column]:
+            of.setdefault(column, {})[r.dataset] = names
+            if r.key != column:  # here the name is a writing of another column
+                of.setdefault(r.key, {})[r.dataset] = []
+        else:
+            of.setdefault(column, {})
+        for k in r.kinds:
+            kinds[column] = join_kinds(kinds.get(column), k)
+        kinds.setdefault(column, None)
     out, taken = [], set()
-    for names in sorted({tuple(g) for g in group.values()}, key=lambda g: (-max(files[n] for n in g), g)):
-        kind = None
-        for k in (k for n in names for k in kind_of[n]):
-            kind = join_kinds(kind, k)
-        column = base = min(names, key=lambda n: (-files[n], n))
-        i = 2
+    for base in sorted((c for c in of if c in kinds), key=lambda c: (-files[c], c)):
+        column, i = base, 2
         while column.lower() in taken:
             column, i = f"{base}_{i}", i + 1
         taken.add(column.lower())
-        out.append((column, list(names), kind or "text"))
+        out.append((column, {None: [base], **of[base]}, kinds[base] or "text"))
     return out
 
 
-def union_columns(records: DataFrame, renames: set[tuple[str, str]] | None = None) -> list[tuple[str, list[str], str]]:
-    """(column, names, kind) of the union schema over all datasets and files.
+def union_columns(records: DataFrame, renames: set[tuple[str, str, str]] | None = None) -> list[tuple[str, Names, str]]:
+    """(column, names by dataset, kind) of the union schema over all datasets and files.
 
-    Names that were renamed into each other are one column unless some file has both; the column has the name that most
-    files use. The kind is the least upper bound of all values' kinds. Only the distinct names, their kinds and the pairs
-    seen in one file come to the driver, at most MAX_FIELD_NAMES names.
+    Names that were renamed into each other in a dataset are one column there, unless some file of it has both; the column has
+    the one of them that most files of all datasets use. Each file says one kind of a field, the prevailing one; the kind of
+    the column is the least upper bound of the files' kinds. Only the distinct names with their kinds, and the pairs seen
+    in one file, come to the driver, at most MAX_FIELD_NAMES names of datasets.
     """
     fields = cut(file_schemas(field_values(records)).where("list_key is null"))
     return _folded(fields, _renames(records) if renames is None else renames)
@@ -192,42 +225,60 @@ def _member(value: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(value, "$[\"" + name.replace("\\", "\\\\").replace('"', '\\"') + "\"]", kind)
 
 
-def _elements(names: list[str]) -> Column:
-    """The list under the first of the names that has a value, as array<variant>; a text that holds a list in JSON is that list."""
-    text = F.coalesce(*[_member(F.col("_v"), n, "string") for n in names])
-    return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+def _value(names: Names, read: Callable[[str], Column]) -> Column:
+    """The value of a column in a row: under the names of the row's dataset the first that has one."""
+    def first(keys: list[str]) -> Column:
+        return F.coalesce(*[read(n) for n in keys]) if keys else F.lit(None)
+
+    out = first(names[None])
+    for dataset, keys in sorted((d, k) for d, k in names.items() if d is not None):
+        out = F.when(F.col("dataset") == dataset, first(keys)).otherwise(out)
+    return out
+
+
+def _text_of(names: Names) -> Column:
+    return _value(names, lambda n: _member(F.col("_v"), n, "string")).cast("string")
+
+
+def _elements(names: Names) -> Column:
+    """The list of a column, as array<variant>; a text that holds a list in JSON is that list."""
+    return F.try_variant_get(F.try_parse_json(_text_of(names)), "$", "array<variant>")
 
 
 def _is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def inner_columns(records: DataFrame, columns: list[tuple[str, list[str], str]], renames: set[tuple[str, str]]) -> dict[str, list[tuple[str, list[str], str]]]:
-    """For each column whose values are all lists of objects, as lists or as texts of JSON, the union schema of the objects: the
-    inner keys with their renames and kinds folded as union_columns() does it."""
+def _are_objects(names: Names) -> Column:
+    """True for a list of objects and nulls."""
+    return F.coalesce(F.forall(_elements(names), lambda e: F.coalesce(_is_object(e), F.lit(True)) | F.is_variant_null(e)), F.lit(False))
+
+
+def inner_columns(records: DataFrame, columns: list[tuple[str, Names, str]], renames: set[tuple[str, str, str]]) -> dict[str, list[tuple[str, Names, str]]]:
+    """For each column of lists of objects, as lists or as texts of JSON, the union schema of the objects: the inner keys with their
+    renames and kinds folded as union_columns() does it. At most STRAY_SHARE of its values may be something else."""
     maybe = [(i, c, names) for i, (c, names, kind) in enumerate(columns) if kind in ("list", "text")]
     parsed = cut(records.where("dataset is not null and file_seq is not null").select("dataset", F.col("file_seq").cast("long").alias("file_seq"), F.try_parse_json("payload").alias("_v")))
     tests = []
     for i, _, names in maybe:
-        has = F.coalesce(*[_member(F.col("_v"), n, "string") for n in names]).isNotNull()
-        sound = F.coalesce(F.forall(_elements(names), lambda e: F.coalesce(_is_object(e), F.lit(True)) | F.is_variant_null(e)), F.lit(False))
-        tests += [F.count_if(has & ~sound).alias(f"other_{i}"), F.count_if(has & F.exists(_elements(names), _is_object)).alias(f"objects_{i}")]
+        has = _text_of(names).isNotNull()
+        tests += [F.count_if(has).alias(f"all_{i}"), F.count_if(has & ~_are_objects(names)).alias(f"other_{i}"), F.count_if(has & F.exists(_elements(names), _is_object)).alias(f"objects_{i}")]
     said = parsed.agg(*tests).first() if tests else None
     out = {}
     for i, column, names in maybe:
-        if said[f"other_{i}"] or not said[f"objects_{i}"]:
+        if said[f"other_{i}"] > STRAY_SHARE * said[f"all_{i}"] or not said[f"objects_{i}"]:
             continue
         elements = parsed.select("dataset", "file_seq", F.explode(_elements(names)).alias("_e")).where(_is_object(F.col("_e")))
         inner = _exploded(elements, "_e", "key", "_value").withColumn("kind", json_kind(F.col("_value"))).where("key is not null").select("dataset", "file_seq", F.lit(column).alias("list_key"), "key", "kind")
-        heads = [n + "." for n in names]
-        own = {(a[len(h) :], b[len(g) :]) for a, b in renames for h in heads for g in heads if a.startswith(h) and b.startswith(g)}
+        heads = sorted({n + "." for keys in names.values() for n in keys})
+        own = {(d, a[len(h) :], b[len(g) :]) for d, a, b in renames for h in heads for g in heads if a.startswith(h) and b.startswith(g)}
         out[column] = _folded(cut(file_schemas(inner)), own)
     return {c: fields for c, fields in out.items() if fields}
 
 
-def _shaper(fields: list[tuple[str, list[str], str]]) -> Callable[[Column], Column]:
+def _shaper(fields: list[tuple[str, Names, str]]) -> Callable[[Column], Column]:
     def shaped(element: Column) -> Column:
-        values = [F.coalesce(*[_member(element, n, _SQL.get(kind, "string")) for n in names]).alias(name) for name, names, kind in fields]
+        values = [_value(names, lambda n, kind=kind: _member(element, n, _SQL.get(kind, "string"))).cast(_SQL.get(kind, "string")).alias(name) for name, names, kind in fields]
         return F.when(_is_object(element), F.struct(*values))
 
     return shaped
@@ -237,21 +288,39 @@ _SQL = {"whole": "bigint", "decimal": "double", "boolean": "boolean"}
 
 
 def consistent_table(records: DataFrame) -> DataFrame:
-    """All records in one schema: dataset, file_seq, record_no, id and a column field_<name> per column of union_columns.
+    """All records in one schema: dataset, file_seq, record_no, id, a column field_<name> per column of union_columns, and strays.
 
     Whole numbers are bigint, decimal numbers double, booleans boolean. Lists of objects are array<struct> of the schema of
     inner_columns, also where some files hold them as texts of JSON. Text, other lists and objects are strings (the latter two
-    JSON), and so is a column of mixed kinds. No record is dropped: a damaged payload leaves its fields null.
+    JSON). strays (map of strings, null for none) holds the values of a record that its columns' types can't, as the file has
+    them, so no value is lost; numbers and booleans that a file holds as their texts are cast. No record is dropped: a
+    damaged payload leaves its fields null.
     """
     renames = _renames(records)
     columns = union_columns(records, renames)
     nested = inner_columns(records, columns, renames)
 
-    out = []
+    out, strays = [], []
     for name, names, kind in columns:
+        text = _text_of(names)
         if name in nested:
-            out.append(F.transform(_elements(names), _shaper(nested[name])).alias(f"field_{name}"))
+            fits = _are_objects(names)
+            value = F.when(fits, F.transform(_elements(names), _shaper(nested[name])))
         else:
-            out.append(F.coalesce(*[_member(F.col("_v"), n, _SQL.get(kind, "string")) for n in names]).alias(f"field_{name}"))
+            value = _value(names, lambda n, kind=kind: _member(F.col("_v"), n, _SQL.get(kind, "string"))).cast(_SQL.get(kind, "string"))
+            fits = value.isNotNull()
+            if kind == "list":
+                fits = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>").isNotNull()
+            elif kind == "object":
+                fits = F.coalesce(_is_object(F.try_parse_json(text)), F.lit(False))
+            elif kind == "whole":  # 2.5 is no whole number
+                fits = fits & (text.try_cast("double") == value)
+            if kind in ("list", "object", "whole"):
+                value = F.when(fits, value)
+        out.append(value.alias(f"field_{name}"))
+        if kind != "text" or name in nested:
+            strays.append(F.when(text.isNotNull() & ~F.coalesce(fits, F.lit(False)), F.struct(F.lit(name).alias("key"), text.alias("value"))))
+    found = F.array_compact(F.array(*strays)) if strays else F.array().cast("array<struct<key:string,value:string>>")
+    out.append(F.when(F.size(found) > 0, F.map_from_entries(found)).alias("strays"))
     parsed = records.withColumn("_v", F.try_parse_json(F.col("payload")))
     return parsed.select("dataset", F.col("file_seq").cast("long").alias("file_seq"), F.col("record_no").cast("long").alias("record_no"), "id", *out)

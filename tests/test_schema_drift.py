@@ -52,7 +52,7 @@ def test_consistent_table_keeps_all_values(spark):
     rows = file(1, lambda k: {"name": f"n{k}", "size": k, "Dataset": "in"}) + file(2, lambda k: {"title": f"n{k}", "size": k + 0.5, "NAME": "both"}) + file(1, lambda k: {"name": "x", "size": "big"}, dataset="e")
     df = records(spark, rows)
     columns = {c: (n, k) for c, n, k in union_columns(df)}
-    assert columns["name"] == (["name", "title"], "text") and columns["size"][1] == "text" and "NAME_2" in columns
+    assert columns["name"] == ({None: ["name"], "d": ["name", "title"]}, "text") and columns["size"][1] == "text" and "NAME_2" in columns
     got = consistent_table(df).orderBy("dataset", "file_seq", "record_no").collect()
     assert [r.field_name for r in got] == [f"n{k}" for k in range(6)] * 2 + ["x"] * 6 and got[0].field_Dataset == "in" and got[6].field_size == "0.5"
 
@@ -69,3 +69,21 @@ def test_lists_of_objects_have_one_schema(spark):
         [{"zip": "1", "x": 1.0, "town": None}], [{"zip": "1", "x": 2.5, "town": None}, None], [{"zip": "1", "x": None, "town": "T"}],
     ]
     assert got[18].field_addresses is None and got[18].field_mixed == '[1,{"q":1}]' and got[0].field_tags == '["a"]'
+
+
+def test_strays_and_renames_of_one_dataset(spark):
+    rows = file(1, lambda k: {"capacity": "many" if k == 0 else k, "conf": 1, "phones": ["1"], "flag": True}, 12)
+    rows += file(2, lambda k: {"capacity": k, "confidence": 1, "phones": "none" if k == 0 else ["1"], "flag": True}, 12)
+    rows += file(1, lambda k: {"capacity": 2.5 if k == 3 else k, "conf": k, "confidence": 2 * k}, 12, dataset="e")
+    df = records(spark, rows)
+    got = consistent_table(df)
+    kinds = dict(got.dtypes)
+    assert kinds["field_capacity"] == "double" and kinds["field_confidence"] == "bigint" and kinds["field_flag"] == "boolean" and kinds["strays"] == "map<string,string>"
+    by = {(r.dataset, r.file_seq, r.record_no): r for r in got.collect()}
+    assert by["d", 1, 0].strays == {"capacity": "many"} and by["d", 2, 0].strays == {"phones": "none"} and by["d", 1, 1].strays is None
+    # conf was renamed in d alone; e has both
+    one = by["e", 1, 3]
+    assert (one.field_conf, one.field_confidence, one.field_capacity) == (3, 6, 2.5)
+    assert {by["d", f, 4].field_confidence if by["d", f, 4].field_confidence is not None else by["d", f, 4].field_conf for f in (1, 2)} == {1}
+    whole = consistent_table(records(spark, file(1, lambda k: {"n": 2.5 if k == 0 else "7" if k == 1 else k}, 5) + file(2, lambda k: {"n": k})))
+    assert dict(whole.dtypes)["field_n"] == "double" and sorted(r.field_n for r in whole.collect()) == [0, 1, 2, 2, 2.5, 3, 3, 4, 4, 5, 7]
