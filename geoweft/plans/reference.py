@@ -323,7 +323,7 @@ def _file_queries(spark, directory):
 
 _clean = lambda c: f"""trim(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')), '^"+|"+$', '', 'g'))"""
 GEOCODE_FILE_SQL = SEARCH_CTES.replace("WITH", f"WITH {USERS_SQL},", 1) + f""",
-queries AS (SELECT record_id AS row_id, {_clean('address')} AS ad, {_clean('city')} AS ci, {_clean('state')} AS st, {_clean('postcode')} AS po FROM users WHERE trim(address) <> '' ORDER BY record_id LIMIT 500),
+queries AS (SELECT record_id AS row_id, {_clean('address')} AS ad, {_clean('city')} AS ci, {_clean('state')} AS st, {_clean('postcode')} AS po FROM users WHERE trim(address) <> ''),
 towns AS (SELECT *, concat_ws(', ', nullif(ci, ''), nullif(st, '')) AS town FROM queries),
 rests AS (SELECT *, [concat_ws(' ', nullif(town, ''), nullif(po, '')), po, ci, town, ''] AS rest FROM towns WHERE ad <> ''),
 exploded AS (SELECT row_id, unnest(range(5)) AS no, unnest(list_transform(rest, lambda x: CASE WHEN x <> '' THEN ad || ', ' || x ELSE ad END)) AS query FROM rests),
@@ -336,18 +336,12 @@ SELECT queries.row_id, query, display_label, longitude, latitude, source_type, C
 """
 
 
-def _geocoded(spark, directory, max_rows=None):
-    return geocode.geocode_table(_file_queries(spark, directory), geocode.searchable(addresses(spark, directory)), geocode.searchable(_search_places(spark, directory)), max_rows)
+def _geocoded(spark, directory):
+    return geocode.geocode_table(_file_queries(spark, directory), geocode.searchable(addresses(spark, directory)), geocode.searchable(_search_places(spark, directory)))
 
 
 @query("geocode_file", GEOCODE_FILE_SQL)
 def geocode_file(spark, directory):
-    """The first 500 addresses of a table of queries, as its SQL has them; geocode_file_all has no limit."""
-    return _geocoded(spark, directory, 500)
-
-
-@query("geocode_file_all")
-def geocode_file_all(spark, directory):
     """Every address of a table of queries, by ever broader variants."""
     return _geocoded(spark, directory)
 
