@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweft.functions import wkb
-from geoweft.operators.proximity import nearby, points_near_points, regions_around_points
+from geoweft.operators.proximity import nearby, points_near_points, region_cells, regions_around_points
 from geoweft.operators.spatial_join import band_join, distance_m
 
 NAN, INF = float("nan"), float("inf")
@@ -66,3 +66,21 @@ def test_regions_and_nearby(spark):
     assert list(map(tuple, regions_around_points(points, regions.select(F.col("id").alias("region_id"), "geometry")).collect())) == [("in", "r")]
     linked = spark.createDataFrame([("l1", 3.0, 3.0, 10.0), ("l2", 3.0, 3.0, 80.0), ("l3", 3.0, 3.0, -1.0), ("l4", 3.0, 3.0, None)], "record_id string, longitude double, latitude double, gers_match_distance_m double")
     assert sorted(map(tuple, nearby(points, linked, regions).collect())) == [("in", "near", "l1"), ("in", "within", "r")]
+
+
+@pytest.mark.parametrize("size", [0.05, 0.3, 7.0])
+def test_marked_cells_decide_as_the_polygon(size):
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        angles = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 25)))
+        r = rng.uniform(0.2, 2.5, len(angles))
+        outer = np.column_stack([10 + r * np.cos(angles), -3 + r * np.sin(angles)])
+        hole = np.column_stack([10 + 0.1 * np.cos(angles), -3 + 0.1 * np.sin(angles)])
+        rings = [np.vstack([o, o[:1]]) for o in (outer, hole)]
+        cells = {(x, y): edge for x, y, edge in region_cells(wkb.encode(("POLYGON", [rings])), size)}
+        xy = np.column_stack([rng.uniform(7, 13, 4000), rng.uniform(-6, 0, 4000)])
+        truth = wkb.inside_rings(rings, xy[:, 0], xy[:, 1])
+        for (x, y), inside in zip(xy, truth, strict=True):
+            edge = cells.get((int(np.floor(x / size)), int(np.floor(y / size))))
+            assert edge or (edge is False) == inside
+    assert region_cells(wkb.encode(("POLYGON", [[np.array([[0, 0], [np.nan, 1], [1, 1], [0, 0]])]])), 0.1) == [] and region_cells(b"x", 0.1) == []
