@@ -14,12 +14,10 @@ from geoweft.functions.wkb import point_xy
 from geoweft.operators import linking, mapping, rules
 from geoweft.options import Extent, LinkOptions
 from geoweft.plans.core import ORACLES, P3_NEAR_SQL, query, table
-from geoweft.plans.reference import CANDIDATE_DOUBLES, norm, rounded, users
+from geoweft.plans.reference import CANDIDATE_DOUBLES, USERS_SQL, link_pairs, place_candidates_sql, replaced, rounded, users
 from geoweft.session import cut, shared_dir
 from geoweft.sources import readers, writers
 
-_TEXTS = ("source_record_key", "name", "address", "city", "state", "postcode")
-
 
 def _number(h: str, at: str, width: int, kind: str) -> str:
     """SQL of a little-endian number of width bytes at a place of a hex text."""
@@ -51,34 +49,10 @@ def _list(field: str, distinct: bool, left: int | None = None) -> str:
 
 
 def _linked_sql(where: str) -> str:
-    """All candidates of the records among the places, as one scored relation: the distance first, similarities of what both
-    sides have, the score by what is there, and the five best."""
-    pair = f"jaro_winkler_similarity({norm('r.address')}, {norm('p.street')})"
-    whole = "jaro_winkler_similarity({}, {})".format(norm("concat_ws(' ', r.address, r.city, r.state, r.postcode)"), norm("concat_ws(' ', p.street, p.town, p.region, p.code)"))
-    return f"""
-WITH r AS (
-  SELECT record_id, {', '.join(f"min({c}) AS {c}" for c in _TEXTS)}, min(longitude) AS longitude, min(latitude) AS latitude FROM gers_user_input WHERE record_id IS NOT NULL AND isfinite(longitude) AND isfinite(latitude) GROUP BY 1
-), box AS (SELECT min(longitude) - 75 / 50000.0 AS w, max(longitude) + 75 / 50000.0 AS e, min(latitude) - 75 / 50000.0 AS s, max(latitude) + 75 / 50000.0 AS n FROM r
-), p AS (
-  SELECT id, coalesce(names['primary'], '') AS title, {_list('freeform', False)} AS street, {_list('locality', True)} AS town, {_list('region', True)} AS region, {_list('postcode', True, 5)} AS code, lon, lat FROM ({POINTS_SQL}), box {where}
-), near AS (
-  SELECT r.*, p.*, sqrt(pow((p.lon - r.longitude) * 111320.0 * cos(radians((p.lat + r.latitude) / 2)), 2) + pow((p.lat - r.latitude) * 110540.0, 2)) AS m, {norm('r.name')} AS a, {norm('p.title')} AS b, {norm('r.address')} AS c, {norm('p.street')} AS d, {pair} AS one, {whole} AS two,
-         r.name AS user_name, r.address AS user_address, r.city AS user_city, r.state AS user_state, r.postcode AS user_postcode
-  FROM r JOIN p ON p.lat BETWEEN r.latitude - 75 / 110540.0 AND r.latitude + 75 / 110540.0 AND abs(p.lon - r.longitude) <= 75 / greatest(111320.0 * cos(radians(r.latitude)), 1)
-  WHERE abs(r.latitude) <= 90 AND abs(r.longitude) <= 180
-), alike AS (
-  SELECT *, if(a <> '' AND b <> '', jaro_winkler_similarity(a, b), NULL) AS n, if(c <> '' AND d <> '', greatest(one, two), NULL) AS s, greatest(0.0, 1 - m / 75) AS f FROM near
-  WHERE m <= 75 AND ((a <> '' AND b <> '') OR (c <> '' AND d <> '') OR (a = '' AND c <> '' AND b <> ''))
-), rated AS (
-  SELECT *, CASE WHEN n IS NULL AND s IS NULL THEN 100 * f WHEN n IS NULL OR s IS NULL THEN 80 * coalesce(n, s) + 20 * f ELSE 60 * n + 25 * s + 15 * f END AS score FROM alike
-), best AS (
-  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, m, title, id) AS place FROM rated QUALIFY place <= 5
-)
-SELECT record_id, coalesce(user_name, '') AS user_name, coalesce(user_address, '') AS user_address, coalesce(user_city, '') AS user_city, coalesce(user_state, '') AS user_state, coalesce(user_postcode, '') AS user_postcode, longitude, latitude,
-       id AS gers_id, id AS overture_id, title AS overture_name, street AS overture_address, lon AS overture_longitude, lat AS overture_latitude, round(m, 6) AS distance_m, round(n, 6) AS name_similarity, round(s, 6) AS address_similarity, round(f, 6) AS distance_similarity,
-       CASE WHEN n IS NULL AND s IS NULL THEN 'nearby_only' WHEN s IS NULL THEN 'name' WHEN n IS NULL THEN 'address' ELSE 'name_address' END AS match_strategy, round(score, 6) AS gers_match_score, place AS candidate_rank,
-       (place = 1 AND score >= 72 AND coalesce(n, 1) >= 0.86 AND coalesce(s, 1) >= 0.72 AND (n IS NOT NULL OR s IS NOT NULL OR m <= 15)) AS accepted
-FROM best"""
+    """The candidates of the records among the places as delivered."""
+    flat = f"""SELECT id, coalesce(names['primary'], '') AS title, {_list('freeform', False)} AS street, {_list('locality', True)} AS town, {_list('region', True)} AS region, {_list('postcode', True, 5)} AS code, lon, lat FROM ({POINTS_SQL}), box {where}"""
+    box = "box AS (SELECT min(longitude) - 75 / 50000.0 AS w, max(longitude) + 75 / 50000.0 AS e, min(latitude) - 75 / 50000.0 AS s, max(latitude) + 75 / 50000.0 AS n FROM users)"
+    return f"WITH {USERS_SQL}, {box}, {link_pairs(flat)}, {place_candidates_sql()} SELECT {replaced(CANDIDATE_DOUBLES)} FROM candidates"
 
 
 @query("link_overture_places", _linked_sql(""))

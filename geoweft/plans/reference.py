@@ -43,6 +43,10 @@ def norm(x: str) -> str:
     return f"regexp_replace(lower(trim(coalesce({x}, ''))), '[^a-z0-9]+', ' ', 'g')"
 
 
+def _digits(x: str) -> str:
+    return f"left(regexp_replace(coalesce({x}, ''), '[^0-9]', '', 'g'), 5)"
+
+
 def jw(a: str, b: str) -> str:
     return f"jaro_winkler_similarity({a}, {b})"
 
@@ -61,51 +65,44 @@ ADDRESSES_SQL = r"""
 addresses AS (
   SELECT id, regexp_extract(address, '^\s*([0-9]+[A-Za-z]?)\s', 1) AS number, regexp_replace(address, '^\s*[0-9]+[A-Za-z]?\s+', '') AS street, city, postcode, longitude, latitude FROM places
 )"""
-DISTANCE = "sqrt(pow((t.longitude - u.longitude) * 111320.0 * cos(radians((t.latitude + u.latitude) / 2.0)), 2) + pow((t.latitude - u.latitude) * 110540.0, 2))"
-BAND = "abs(t.latitude - u.latitude) <= 75.0 / 110540.0 AND abs(t.longitude - u.longitude) <= 75.0 / greatest(111320.0 * abs(cos(radians(u.latitude))), 1.0)"
-USER_PREPARED = f"""
-u AS (
-  SELECT record_id, coalesce(name, '') AS user_name, coalesce(address, '') AS user_address, coalesce(city, '') AS user_city, coalesce(state, '') AS user_state, coalesce(postcode, '') AS user_postcode, longitude, latitude,
-         {norm('name')} AS u_name, {norm('address')} AS u_street, {norm("trim(concat_ws(' ', coalesce(address, ''), coalesce(city, ''), coalesce(state, ''), coalesce(postcode, '')))")} AS u_full,
-         regexp_extract(lower(coalesce(address, '')), '^\\s*([0-9]+[a-z]?)', 1) AS u_number, left(regexp_replace(coalesce(postcode, ''), '[^0-9]', '', 'g'), 5) AS u_postcode
-  FROM users WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90
+_PAIR_COLUMNS = """record_id, coalesce(user_name, '') AS user_name, coalesce(user_address, '') AS user_address, coalesce(user_city, '') AS user_city, coalesce(user_state, '') AS user_state, coalesce(user_postcode, '') AS user_postcode, longitude, latitude,
+       id AS gers_id, id AS overture_id, title AS overture_name, street AS overture_address, lon AS overture_longitude, lat AS overture_latitude, m AS distance_m, n AS name_similarity, s AS address_similarity, f AS distance_similarity"""
+
+
+def link_pairs(targets: str) -> str:
+    """CTEs ``p``, the targets (id, title, street, town, region, code, lon, lat and whatever else), and ``near``, each record of
+    ``users`` with the targets within 75 m, the texts of both in normal form and their likeness."""
+    streets = jw(norm("r.address"), norm("p.street"))
+    whole = jw(norm("concat_ws(' ', r.address, r.city, r.state, r.postcode)"), norm("concat_ws(' ', p.street, p.town, p.region, p.code)"))
+    return f"""
+p AS ({targets}), near AS (
+  SELECT *, greatest(0.0, 1 - m / 75) AS f, if(a <> '' AND b <> '', {jw('a', 'b')}, NULL) AS n, if(c <> '' AND d <> '', greatest(one, two), NULL) AS s FROM (
+    SELECT p.*, r.record_id, r.name AS user_name, r.address AS user_address, r.city AS user_city, r.state AS user_state, r.postcode AS user_postcode, r.longitude, r.latitude, {norm('r.name')} AS a, {norm('p.title')} AS b, {norm('r.address')} AS c, {norm('p.street')} AS d,
+           {streets} AS one, {whole} AS two, sqrt(pow((p.lon - r.longitude) * 111320.0 * cos(radians((p.lat + r.latitude) / 2)), 2) + pow((p.lat - r.latitude) * 110540.0, 2)) AS m
+    FROM users r JOIN p ON p.lat BETWEEN r.latitude - 75 / 110540.0 AND r.latitude + 75 / 110540.0 AND abs(p.lon - r.longitude) <= 75 / greatest(111320.0 * cos(radians(r.latitude)), 1)
+    WHERE abs(r.latitude) <= 90 AND abs(r.longitude) <= 180 AND abs(p.lat) <= 90 AND abs(p.lon) <= 180)
+  WHERE m <= 75
 )"""
-_SCORED_COLUMNS = "record_id, user_name, user_address, user_city, user_state, user_postcode, longitude, latitude, gers_id, overture_id, overture_name, overture_address, overture_longitude, overture_latitude, distance_m, name_similarity, address_similarity, distance_similarity"
 
 
-def place_link_sql(name: float = 0.86, address: float = 0.72, score: float = 72.0, k: int = 5) -> str:
-    """CTEs up to ``candidates``."""
+def place_candidates_sql(name: float = 0.86, address: float = 0.72, score: float = 72.0, k: int = 5) -> str:
+    """CTE ``candidates`` over ``near``: the score by what both sides have, the k best, and what is accepted."""
     return f"""
-WITH {USERS_SQL}, {PLACES_SQL}, {USER_PREPARED},
-t AS (
-  SELECT id, coalesce(name, '') AS name, coalesce(address, '') AS address, longitude, latitude, {norm('name')} AS t_name, {norm('address')} AS t_street,
-         {norm("trim(concat_ws(' ', coalesce(address, ''), coalesce(city, ''), '', coalesce(left(postcode, 5), '')))")} AS t_full
-  FROM places WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90
-),
-met AS (
-  SELECT u.*, t.id AS gers_id, t.id AS overture_id, t.name AS overture_name, t.address AS overture_address, t.longitude AS overture_longitude, t.latitude AS overture_latitude, t_name, t_street, t_full, {DISTANCE} AS distance_m
-  FROM u JOIN t ON {BAND} WHERE (u_name <> '' AND t_name <> '') OR (u_street <> '' AND t_street <> '') OR (u_name = '' AND u_street <> '' AND t_name <> '')
-),
-scored AS (
-  SELECT *, CASE WHEN u_name <> '' AND t_name <> '' THEN {jw('u_name', 't_name')} END AS name_similarity,
-         CASE WHEN u_street <> '' AND t_street <> '' THEN greatest({jw('u_street', 't_street')}, {jw('u_full', 't_full')}) END AS address_similarity, greatest(0.0, 1.0 - distance_m / 75.0) AS distance_similarity
-  FROM met WHERE distance_m <= 75
-),
-rated AS (
-  SELECT {_SCORED_COLUMNS},
-         CASE WHEN name_similarity IS NOT NULL AND address_similarity IS NOT NULL THEN 'name_address' WHEN name_similarity IS NOT NULL THEN 'name' WHEN address_similarity IS NOT NULL THEN 'address' ELSE 'nearby_only' END AS match_strategy,
-         CASE WHEN name_similarity IS NULL AND address_similarity IS NULL THEN distance_similarity * 100.0 WHEN name_similarity IS NULL THEN address_similarity * 80.0 + distance_similarity * 20.0
-              WHEN address_similarity IS NULL THEN name_similarity * 80.0 + distance_similarity * 20.0 ELSE name_similarity * 60.0 + address_similarity * 25.0 + distance_similarity * 15.0 END AS gers_match_score
-  FROM scored
-),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY gers_match_score DESC, distance_m, overture_name, overture_id) AS candidate_rank FROM rated),
 candidates AS (
-  SELECT *, (candidate_rank = 1 AND gers_match_score >= {score} AND (((name_similarity IS NULL OR name_similarity >= {name}) AND (address_similarity IS NULL OR address_similarity >= {address}) AND (name_similarity IS NOT NULL OR address_similarity IS NOT NULL))
-         OR (name_similarity IS NULL AND address_similarity IS NULL AND distance_m <= 15))) AS accepted
-  FROM ranked WHERE candidate_rank <= {k}
+  SELECT {_PAIR_COLUMNS}, CASE WHEN n IS NULL AND s IS NULL THEN 'nearby_only' WHEN s IS NULL THEN 'name' WHEN n IS NULL THEN 'address' ELSE 'name_address' END AS match_strategy, score AS gers_match_score, place AS candidate_rank,
+         (place = 1 AND score >= {score} AND coalesce(n, 1) >= {name} AND coalesce(s, 1) >= {address} AND (n IS NOT NULL OR s IS NOT NULL OR m <= 15)) AS accepted
+  FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, m, title, id) AS place FROM (
+    SELECT *, CASE WHEN n IS NULL AND s IS NULL THEN 100 * f WHEN n IS NULL OR s IS NULL THEN 80 * coalesce(n, s) + 20 * f ELSE 60 * n + 25 * s + 15 * f END AS score
+    FROM near WHERE n IS NOT NULL OR s IS NOT NULL OR (a = '' AND c <> '' AND b <> '')) QUALIFY place <= {k})
 )"""
 
 
+def place_link_sql() -> str:
+    """CTEs up to ``candidates``."""
+    flat = "SELECT id, coalesce(name, '') AS title, coalesce(address, '') AS street, city AS town, '' AS region, left(postcode, 5) AS code, longitude AS lon, latitude AS lat FROM places"
+    return f"WITH {USERS_SQL}, {PLACES_SQL}, {link_pairs(flat)}, {place_candidates_sql()}"
+
+
 OUTPUT_SQL = """
 output AS (
   SELECT u.record_id, u.source_record_key, u.name, u.address, u.city, u.state, u.postcode, u.longitude, u.latitude, a.gers_id, a.gers_match_score, a.match_strategy AS gers_match_strategy, a.distance_m AS gers_match_distance_m,
@@ -136,30 +133,16 @@ def link_places(spark, directory):
 
 
 ADDRESS_LINK_SQL = f"""
-WITH {USERS_SQL}, {PLACES_SQL}, {ADDRESSES_SQL}, {USER_PREPARED},
-t AS (
-  SELECT id, longitude, latitude, trim(concat_ws(' ', nullif(number, ''), nullif(street, ''))) AS address, {norm("trim(concat_ws(' ', nullif(number, ''), nullif(street, '')))")} AS t_street,
-         {norm("trim(concat_ws(' ', nullif(number, ''), nullif(street, ''), nullif(city, ''), nullif(left(postcode, 5), '')))")} AS t_full, lower(trim(number)) AS t_number, left(regexp_replace(coalesce(left(postcode, 5), ''), '[^0-9]', '', 'g'), 5) AS t_postcode
-  FROM addresses WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90
-),
-met AS (
-  SELECT u.*, t.id AS gers_id, t.id AS overture_id, t.address AS overture_name, t.address AS overture_address, t.longitude AS overture_longitude, t.latitude AS overture_latitude, t_street, t_full, t_number, t_postcode, {DISTANCE} AS distance_m
-  FROM u JOIN t ON {BAND} WHERE u_street <> '' AND t_street <> ''
-),
-scored AS (
-  SELECT *, CAST(NULL AS DOUBLE) AS name_similarity, greatest({jw('u_street', 't_street')}, {jw('u_full', 't_full')}) AS address_similarity, greatest(0.0, 1.0 - distance_m / 75.0) AS distance_similarity,
-         (u_number <> '' AND t_number <> '' AND u_number = t_number) AS house_number_match, (u_postcode = '' OR t_postcode = '' OR u_postcode = t_postcode) AS postcode_compatible
-  FROM met WHERE distance_m <= 75
-),
-rated AS (
-  SELECT {_SCORED_COLUMNS}, house_number_match, postcode_compatible,
-         CASE WHEN house_number_match AND postcode_compatible AND address_similarity >= 0.995 THEN 'exact_address' WHEN address_similarity IS NOT NULL THEN 'address' ELSE 'nearby_only' END AS match_strategy,
-         CASE WHEN house_number_match AND postcode_compatible THEN address_similarity * 90.0 + distance_similarity * 10.0 ELSE address_similarity * 70.0 + distance_similarity * 10.0 END AS gers_match_score
-  FROM scored
-),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN house_number_match AND postcode_compatible THEN 0 ELSE 1 END, gers_match_score DESC, distance_m, overture_address, overture_id) AS candidate_rank FROM rated),
-candidates AS (SELECT *, (candidate_rank = 1 AND gers_match_score >= 72.0 AND address_similarity >= 0.72 AND house_number_match AND postcode_compatible) AS accepted FROM ranked WHERE candidate_rank <= 5)
-"""
+WITH {USERS_SQL}, {PLACES_SQL}, {ADDRESSES_SQL}, {link_pairs("SELECT id, line AS title, line AS street, nullif(city, '') AS town, '' AS region, left(postcode, 5) AS code, longitude AS lon, latitude AS lat, lower(trim(number)) AS house FROM (SELECT *, trim(concat_ws(' ', nullif(number, ''), nullif(street, ''))) AS line FROM addresses)")},
+told AS (
+  SELECT * EXCLUDE (n), CAST(NULL AS DOUBLE) AS n, house <> '' AND regexp_extract(lower(trim(coalesce(user_address, ''))), '^[0-9]+[a-z]?') = house AS same_house, {_digits('user_postcode')} AS mine, {_digits('code')} AS theirs FROM near WHERE s IS NOT NULL
+), scored AS (
+  SELECT *, mine IN ('', theirs) OR theirs = '' AS same_code, if(same_house AND same_code, 90, 70) * s + 10 * f AS score FROM told
+), candidates AS (
+  SELECT {_PAIR_COLUMNS}, same_house AS house_number_match, same_code AS postcode_compatible, CASE WHEN same_house AND same_code AND s >= 0.995 THEN 'exact_address' ELSE 'address' END AS match_strategy, score AS gers_match_score, place AS candidate_rank,
+         (place = 1 AND score >= 72 AND s >= 0.72 AND same_house AND same_code) AS accepted
+  FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY same_house AND same_code DESC, score DESC, m, street, id) AS place FROM scored QUALIFY place <= 5)
+)"""
 
 
 @query("link_addresses", ADDRESS_LINK_SQL + f" SELECT {replaced(CANDIDATE_DOUBLES)} FROM candidates")
@@ -243,7 +226,7 @@ VIEW_URL = OSM(lambda k: f"https://www.openstreetmap.org/{k}/", "b.dataset", "b.
 TRACE_SQL = f"""
 WITH ids AS (SELECT DISTINCT gers_id FROM gers_output WHERE trim(gers_id) <> ''),
 traced AS (SELECT i.gers_id, b.dataset, b.record_id, b.update_time, b.theme, b.type, {VIEW_URL} AS source_url FROM ids i JOIN gers_bridge b ON i.gers_id = b.id WHERE b.theme = 'places' AND b.type = 'place'
-           ORDER BY i.gers_id NULLS LAST, b.dataset NULLS LAST, b.record_id NULLS LAST, b.update_time NULLS LAST LIMIT 250000)
+           ORDER BY i.gers_id NULLS LAST, b.dataset NULLS LAST, b.record_id NULLS LAST, b.update_time NULLS LAST)
 """
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -71,12 +73,31 @@ def clear_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_cleaned: set[str] = set()
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    """The tables of an application go when its driver ends, as long as the session still stands then."""
+    app = spark.sparkContext.applicationId
+    if app in _cleaned:
+        return
+    _cleaned.add(app)
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc and spark.sparkContext.applicationId == app:
+                clear_cuts(spark)
+
+    atexit.register(clear)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with a lineage that begins at a table written to the shared folder.
 
     Used where a result has several consumers or a loop would grow the plan; the files survive lost executors.
     """
     spark = df.sparkSession
+    _clear_at_exit(spark)
     path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
