@@ -221,7 +221,7 @@ def unify_text(df: DataFrame, text: str) -> DataFrame:
     df = df.drop("plain", "skeleton")
     ascii_text = F.col(text).rlike(PLAIN_PATTERN) | F.col(text).isNull()
     basic = F.col(text)
-    changed = {c: p for c, p in _broadcast_table(df.sparkSession).value.items() if c.isascii()}
+    changed = {c: unicodedata.normalize("NFKD", p) for c, p in _broadcast_table(df.sparkSession).value.items() if c.isascii()}
     one = {c: p for c, p in changed.items() if len(p) == 1}
     basic = F.translate(basic, "".join(one), "".join(one.values())) if one else basic
     for c, p in sorted((c, p) for c, p in changed.items() if c not in one):
