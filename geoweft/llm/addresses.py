@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.llm.address_parts import parse, postcode5, town_key
-from geoweft.session import cut, spread
+from geoweft.session import cut, grows, spread
 
 #: Hypotheses kept of each address after each step of the search.
 BEAM = 4
@@ -73,7 +73,7 @@ def spelling_variants(words: DataFrame, scope: Sequence[str] = (), ratio: float
     long = words.where((F.length("word") >= least) & ~F.col("word").rlike("[0-9]")).select(*scope, F.col("word").alias("a"), F.col("n").alias("na"))
     keyed = long.withColumn("d", F.explode(_deletions(F.col("a"))))
     other = keyed.select(*scope, "d", F.col("a").alias("b"), F.col("na").alias("nb"))
-    pairs = keyed.join(other, [*scope, "d"]).where((F.col("nb") >= ratio * F.col("na")) & (F.col("a") != F.col("b"))).select(*scope, "a", "b", "na", "nb").distinct()
+    pairs = keyed.join(grows(other), [*scope, "d"]).where((F.col("nb") >= ratio * F.col("na")) & (F.col("a") != F.col("b"))).select(*scope, "a", "b", "na", "nb").distinct()
     return pairs.where(_one_edit(F.col("a"), F.col("b"))).select(*scope, F.col("a").alias("word"), F.col("b").alias("better"), F.col("nb").alias("better_n"), F.col("na").alias("n"))
 
 
@@ -93,13 +93,13 @@ def street_spellings(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     the same first letter, as slips of the first letter are rare and other first letters make other names.
     """
     local = spelling_variants(words, ["locality"])
-    local = local.join(words.select("locality", "word", "nn"), ["locality", "word"])
+    local = local.join(grows(words.select("locality", "word", "nn")), ["locality", "word"])
     local = cut(local.where((F.col("nn") < OWN_NUMBERS) | (F.col("n") < OWN_SHARE * F.col("better_n"))))
     beaten = local.select("locality", "word").distinct()
-    known = cut(words.where(F.col("n") >= KNOWN_SUPPORT).join(beaten, ["locality", "word"], "left_anti").select("word").distinct())
+    known = cut(words.where(F.col("n") >= KNOWN_SUPPORT).join(grows(beaten), ["locality", "word"], "left_anti").select("word").distinct())
     overall = words.groupBy("word").agg(F.sum("n").alias("n"))
     near = spelling_variants(overall).where(F.substr("word", F.lit(1), F.lit(1)) == F.substr("better", F.lit(1), F.lit(1)))
-    near = near.join(known, "word", "left_anti").join(known.select(F.col("word").alias("better")), "better", "left_semi")
+    near = near.join(grows(known), "word", "left_anti").join(grows(known.select(F.col("word").alias("better"))), "better", "left_semi")
     return cut(_best_spellings(local, ["locality", "word"], "local")), cut(_best_spellings(near, ["word"], "everywhere"))
 
 
@@ -127,18 +127,18 @@ def _localities(parsed: DataFrame) -> DataFrame:
     spellings = counts.groupBy("town").agg(F.sum("n").alias("n"))
     variants = cut(spelling_variants(spellings.withColumnRenamed("town", "word")))
     fixed = variants.groupBy(F.col("word").alias("town")).agg(F.max_by("better", F.struct("better_n", "better")).alias("as_town"))
-    by_code = counts.where("postcode is not null").join(fixed, "town", "left").groupBy("postcode", F.coalesce("as_town", "town").alias("of_code")).agg(F.sum("n").alias("n"))
+    by_code = counts.where("postcode is not null").join(grows(fixed), "town", "left").groupBy("postcode", F.coalesce("as_town", "town").alias("of_code")).agg(F.sum("n").alias("n"))
     by_code = cut(by_code.groupBy("postcode").agg(F.max_by("of_code", F.struct("n", "of_code")).alias("of_code")))
-    towns = spellings.join(fixed, "town", "left").select("town", F.coalesce("as_town", "town").alias("of_town"), F.col("as_town").isNull().alias("sure"))
-    named = evidence.join(towns, "town", "left").join(by_code, "postcode", "left")
+    towns = spellings.join(grows(fixed), "town", "left").select("town", F.coalesce("as_town", "town").alias("of_town"), F.col("as_town").isNull().alias("sure"))
+    named = evidence.join(grows(towns), "town", "left").join(grows(by_code), "postcode", "left")
     inner = towns.where("sure").select(F.col("town").alias("inner_town"), F.lit(True).alias("_known"))
-    named = named.join(inner, "inner_town", "left")
+    named = named.join(grows(inner), "inner_town", "left")
     told = F.coalesce(F.when(F.col("sure"), F.col("of_town")), F.col("of_code"), F.when(F.col("_known"), F.col("inner_town")), F.col("of_town"))
     named = cut(named.select("record_id", told.alias("locality"), F.floor(F.col("longitude") / SQUARE).cast("long").alias("sx"), F.floor(F.col("latitude") / SQUARE).cast("long").alias("sy")))
     squares = named.where("locality is not null and sx is not null").groupBy("sx", "sy", "locality").agg(F.count("*").alias("n")).groupBy("sx", "sy").agg(F.max_by("locality", F.struct("n", "locality")).alias("around"), (F.max("n") / F.sum("n")).alias("share"))
-    lost = named.where("locality is null and sx is not null").join(squares.where(F.col("share") >= SQUARE_SHARE), ["sx", "sy"]).select("record_id", F.col("around").alias("locality"))
+    lost = named.where("locality is null and sx is not null").join(grows(squares.where(F.col("share") >= SQUARE_SHARE)), ["sx", "sy"]).select("record_id", F.col("around").alias("locality"))
     known = named.where("locality is not null").select("record_id", "locality").unionByName(lost)
-    return parsed.join(known, "record_id", "left")
+    return parsed.join(grows(known), "record_id", "left")
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
     readings = parsed.select("record_id", "locality", F.posexplode("readings").alias("reading", "q")).select("record_id", "locality", "reading", "q.*")
     # every reading with each word's spellings: as written and the better ones
-    spelled = readings.select("*", F.posexplode_outer("words").alias("at", "word")).join(local, ["locality", "word"], "left").join(everywhere, "word", "left")
+    spelled = readings.select("*", F.posexplode_outer("words").alias("at", "word")).join(grows(local), ["locality", "word"], "left").join(grows(everywhere), "word", "left")
     spelled = spelled.withColumn("fixes", F.coalesce("local", "everywhere"))
     options = F.concat(F.transform(F.coalesce("fixes", F.array().cast("array<struct<r:int,better:string>>")), lambda x: F.struct((x.r * 0.5).alias("c"), x.better.alias("s"))), F.array(F.struct(F.when(F.col("fixes").isNotNull(), 2.5).otherwise(0.0).alias("c"), F.col("word").alias("s"))))
     per = ["record_id", "locality", "reading", "number", "direction", "type", "unit", "cost"]
@@ -187,7 +187,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
     streets = F.filter("entries", lambda e: ~F.exists(F.col("entries"), lambda o: (agrees(e.direction, o.direction) & agrees(e.type, o.type)) & ((e.direction != o.direction) | (e.type != o.type))))
     gazetteer = cut(gazetteer.select("locality", "name", "support", streets.alias("streets")))
-    found = names.where("name != ''").join(gazetteer, ["locality", "name"])
+    found = names.where("name != ''").join(grows(gazetteer), ["locality", "name"])
     direction, type_ = F.col("direction"), F.col("type")
     fitting = F.filter("streets", lambda e: agrees(direction, e.direction) & agrees(type_, e.type))
     found = found.withColumn("fit", fitting)
@@ -196,7 +196,7 @@ def resolve(records: DataFrame) -> DataFrame:
     missing = F.when(one, (F.col("fit")[0]["direction"] != direction).cast("int") * 0.2 + (F.col("fit")[0]["type"] != type_).cast("int") * 0.2).when(F.size("fit") > 1, F.lit(0.6)).otherwise(F.lit(3.0))
     best = found.groupBy("record_id", "locality").agg(F.min(F.struct((F.col("paid") + missing).alias("total"), (-F.col("support")).alias("s"), street.alias("street"), "number", "unit")).alias("b"))
     told = best.select("record_id", F.xxhash64("locality", "b.street").alias("street_id"), F.col("b.street").alias("street"), F.col("b.number").alias("number"), F.col("b.unit").alias("unit"))
-    return parsed.select("record_id", "locality").join(told, "record_id", "left")
+    return parsed.select("record_id", "locality").join(grows(told), "record_id", "left")
 
 
 def _located(users: DataFrame, linked: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def location_members(users: DataFrame, linked: DataFrame) -> DataFrame:
     at = _located(users, linked)
     where = ["location", "locality", "street", "number", "unit"]
     classes = at.groupBy(*where).agg(F.min("record_id").alias("location_id"), (F.count("*") - 1).alias("links"))
-    return at.join(classes, where).select("record_id", "location_id", "links")
+    return at.join(grows(classes), where).select("record_id", "location_id", "links")
 
 
 def same_location(users: DataFrame, linked: DataFrame) -> DataFrame:
@@ -228,4 +228,4 @@ def same_location(users: DataFrame, linked: DataFrame) -> DataFrame:
     same = (a["location"] == b["location"]) & (F.col("record_id_1") < F.col("record_id_2"))
     for c in parts:
         same = same & (F.col(f"_{c}") == F.col(c))
-    return a.join(b, same).select("record_id_1", "record_id_2")
+    return a.join(grows(b), same).select("record_id_1", "record_id_2")
