@@ -7,14 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.llm.address_parts import fold
 from geoweft.llm.addresses import _deletions, one_edit, resolve
 from geoweft.operators.spatial_join import distance_m
-from geoweft.session import cut
+from geoweft.session import cut, grows
 
 # Words of business names that say nothing, and written forms of the others.
 SILENT = "a an and co corp inc ltd llc of plc sons the"
@@ -202,7 +202,7 @@ def _divided(side: DataFrame, hot: DataFrame, is_place: bool) -> DataFrame:
     be accepted. site and grid: a near word, or one with the same beginning; of nameless records with an address the
     cell. town: another own word, as links without address and position need all of them; names with one own word meet all.
     """
-    keyed = hot.join(side.select("id", "words", "telling", "locality", "longitude", "latitude"), "id")
+    keyed = hot.join(grows(side.select("id", "words", "telling", "locality", "longitude", "latitude")), "id")
     words = F.col("words")
     alike = F.transform(F.concat(_near_words(words), F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(3))))), lambda w: F.xxhash64(F.lit("word"), w))
 
@@ -232,7 +232,7 @@ def candidate_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]
     """
     records = cut(records)
     at = resolve(records.select(F.col("key").alias("record_id"), "address", "city", "postcode", "longitude", "latitude")).withColumnRenamed("record_id", "key")
-    base = records.join(at, "key").withColumn("words", _name_words("name", "locality"))
+    base = records.join(grows(at), "key").withColumn("words", _name_words("name", "locality"))
     addressed = F.col("street").isNotNull() & (F.col("number") != "") & ~F.col("locality").startswith("?")
     road = F.when(addressed, F.concat_ws("|", "locality", "street", "unit"))
     base = base.select("who", "is_place", "words", "longitude", "latitude", "locality", road.alias("road"), F.when(addressed, F.col("number")).alias("number"), F.when(addressed, F.concat_ws("|", "locality", "street", "unit", "number")).alias("site"))
@@ -249,18 +249,18 @@ def candidate_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]
     places = base.where("is_place").dropDuplicates(["id"])
 
     u, p = cut(_blocks(users, False)), cut(_blocks(places, True))
-    shared = u.groupBy("key").agg(F.count("*").alias("nu")).join(p.groupBy("key").agg(F.count("*").alias("np")), "key").select("key", (F.col("nu") * F.col("np") > HOT).alias("hot"))
-    shared = cut(shared)
+    shared = u.groupBy("key").agg(F.count("*").alias("nu")).join(grows(p.groupBy("key").agg(F.count("*").alias("np"))), "key")
+    shared = cut(shared.select("key", (F.col("nu") * F.col("np") > HOT).alias("hot")))
     calm, hot = shared.where(~F.col("hot")).select("key"), shared.where("hot").select("key")
-    keys = u.join(calm, "key").select("key", F.col("id").alias("u_id")).join(p.select("key", F.col("id").alias("p_id")), "key").select("u_id", "p_id")
+    keys = u.join(grows(calm), "key").select("key", F.col("id").alias("u_id")).join(grows(p.select("key", F.col("id").alias("p_id"))), "key").select("u_id", "p_id")
     if not hot.isEmpty():
-        du = _divided(users, u.join(hot, "key"), False).withColumnRenamed("id", "u_id")
-        dp = _divided(places, p.join(hot, "key"), True).withColumnRenamed("id", "p_id")
-        keys = keys.unionByName(du.join(dp, "key").select("u_id", "p_id"))
+        du = _divided(users, u.join(grows(hot), "key"), False).withColumnRenamed("id", "u_id")
+        dp = _divided(places, p.join(grows(hot), "key"), True).withColumnRenamed("id", "p_id")
+        keys = keys.unionByName(du.join(grows(dp), "key").select("u_id", "p_id"))
     keys = keys.distinct()
     told = ("words", "longitude", "latitude", "road", "number")
-    pairs = keys.join(users.select(F.col("id").alias("u_id"), *[F.col(c).alias("u_" + c) for c in told]), "u_id")
-    pairs = pairs.join(places.select(F.col("id").alias("p_id"), *[F.col(c).alias("p_" + c) for c in ("who", *told)]), "p_id")
+    pairs = keys.join(grows(users.select(F.col("id").alias("u_id"), *[F.col(c).alias("u_" + c) for c in told])), "u_id")
+    pairs = pairs.join(grows(places.select(F.col("id").alias("p_id"), *[F.col(c).alias("p_" + c) for c in ("who", *told)])), "p_id")
     return pairs, members, generic
 
 
@@ -287,16 +287,18 @@ def evidence(pairs: DataFrame, members: DataFrame, generic: list[str]) -> DataFr
     for at, value in reversed(DISTANCE_STEPS):
         far = F.when(F.col("d") <= at, value).otherwise(far)
     told = best.select("u_id", "gers_id", (F.lit(PRIOR) + name + F.coalesce(far, F.lit(0.0)) + F.coalesce("told_a", "a")).alias("logit"), "s", "d").where(F.col("logit") >= LEAST_LOGIT)
-    return told.join(members.withColumnRenamed("id", "u_id"), "u_id").select("record_id", "gers_id", "logit", "s", "d")
+    return told.join(grows(members.withColumnRenamed("id", "u_id")), "u_id").select("record_id", "gers_id", "logit", "s", "d")
 
 
-def _exchange(state: DataFrame, damping: float) -> DataFrame:
-    """One round of messages; change is how far each link's messages are from what the round makes of them."""
+def _exchange(state: DataFrame, damping: float, sides: tuple[str, str]) -> DataFrame:
+    """One round of messages; change is how far each link's messages are from what the round makes of them. sides: u and g in
+    the order in which they are summed; rounds that begin with the side that the last one ended with need one shuffle less."""
     to_u = F.exp(F.least(F.col("logit") + F.col("from_g"), F.lit(50.0)))
     to_g = F.exp(F.least(F.col("logit") + F.col("from_u"), F.lit(50.0)))
-    su = state.groupBy("u").agg(F.sum(to_u).alias("su"))
-    sg = state.groupBy("g").agg(F.sum(to_g).alias("sg"))
-    both = state.join(su, "u").join(sg, "g")
+    sums = {"u": F.sum(to_u).over(Window.partitionBy("u")), "g": F.sum(to_g).over(Window.partitionBy("g"))}
+    both = state
+    for side in sides:
+        both = both.withColumn("s" + side, sums[side])
     rest_u = F.greatest(F.col("su") - to_u, F.lit(0.0))
     rest_g = F.greatest(F.col("sg") - to_g, F.lit(0.0))
     new_u = -F.log1p(rest_u)
@@ -310,31 +312,30 @@ def propagate(edges: DataFrame) -> DataFrame:
     """(record_id, gers_id, confidence): marginals of the candidate links under the one-to-one factors.
 
     Of the links of a record at most one holds; a further record of one place is SECOND_RECORD as likely. Messages are
-    exchanged by sums per record and per place that are joined back to the links, two rounds per written table, until no
-    message changes by more than TOLERANCE. Damping grows after every PATIENCE rounds, so that messages that swing come to
+    exchanged by sums per record and per place in windows, whose rows spill, two rounds per written table, until no message
+    changes by more than TOLERANCE. Damping grows after every PATIENCE rounds, so that messages that swing come to
     rest; if they still do after twenty times PATIENCE, an error says so, as no belief could be given. Links without a rival
     on either side are settled at once and take no part. A null logit isn't a link. Records and places are 64-bit numbers
     while messages are exchanged.
     """
     numbered = edges.where(F.col("logit").isNotNull()).select("record_id", "gers_id", "logit", F.xxhash64("record_id").alias("u"), F.xxhash64("gers_id").alias("g"))
-    edges = cut(numbered)
-    of_u = edges.groupBy("u").agg(F.count("*").alias("nu"))
-    of_g = edges.groupBy("g").agg(F.count("*").alias("ng"))
-    counted = cut(edges.join(of_u, "u").join(of_g, "g"))
+    counted = cut(numbered.withColumn("nu", F.count("*").over(Window.partitionBy("u"))).withColumn("ng", F.count("*").over(Window.partitionBy("g"))))
     calm = counted.where("nu = 1 and ng = 1").select("record_id", "gers_id", (1 / (1 + F.exp(-F.col("logit")))).alias("confidence"))
     rivals = counted.where("nu > 1 or ng > 1")
     state = rivals.select("u", "g", "logit", F.lit(0.0).alias("from_u"), F.lit(0.0).alias("from_g"))
-    done, change, damping = 0, None if state.isEmpty() else float("inf"), DAMPING
-    while change is not None and change > TOLERANCE:
+    done, change, damping = 0, float("inf"), DAMPING
+    while change > TOLERANCE:
         if done >= 20 * PATIENCE:
             raise RuntimeError(f"belief propagation hasn't converged after {done} rounds; the last change is {change}")
-        moved = cut(_exchange(_exchange(state, damping).drop("change"), damping))
-        change, state, done = moved.agg(F.max("change")).first()[0], moved.drop("change"), done + 2
+        seen = Observation()
+        moved = _exchange(_exchange(state, damping, ("u", "g")).drop("change"), damping, ("g", "u"))
+        state = cut(moved.observe(seen, F.max("change").alias("change")).drop("change"))
+        change, done = seen.get["change"] or 0.0, done + 2  # null without rivals
         if done % PATIENCE == 0:
             damping = (1 + damping) / 2
     logging.getLogger(__name__).info("belief propagation: %s rounds, last change %s", done, change)
     belief = state.select("u", "g", (1 / (1 + F.exp(-(F.col("logit") + F.col("from_u") + F.col("from_g"))))).alias("confidence"))
-    return calm.unionByName(rivals.select("record_id", "gers_id", "u", "g").join(belief, ["u", "g"]).select("record_id", "gers_id", "confidence"))
+    return calm.unionByName(rivals.select("record_id", "gers_id", "u", "g").join(grows(belief), ["u", "g"]).select("record_id", "gers_id", "confidence"))
 
 
 def match_entities(users: DataFrame, linked: DataFrame) -> DataFrame:

@@ -38,3 +38,7 @@ def joined_without_broadcasts(plans, result):
 def test_no_side_of_a_p4_join_comes_to_the_driver(spark, plans):
     assert joined_without_broadcasts(plans, addresses.same_location(*tables(spark)))
     assert joined_without_broadcasts(plans, addresses.location_members(*tables(spark)))
+
+
+def test_no_side_of_a_p2_join_comes_to_the_driver(spark, plans):
+    assert joined_without_broadcasts(plans, entity_match.match_entities(*tables(spark)))
