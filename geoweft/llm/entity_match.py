@@ -39,7 +39,7 @@ DISTANCE_STEPS = ((100.0, 4.0), (150.0, 1.0), (1000.0, -3.5), (float("inf"), -3.
 NEAR = 150.0
 #: Logit below which a pair is no link: its odds are under one in four thousand, whatever its rivals are.
 LEAST_LOGIT = -8.5
-#: Pairs of a block from which on it is divided by a second attribute.
+#: Pairs of a block from which on it is divided into parts of about so many pairs, which hold the same pairs together.
 HOT = 20_000
 #: Penalty of a second record of one place: places are delivered twice now and then, so the factor on their side is soft.
 SECOND_RECORD = 0.3
@@ -197,27 +197,15 @@ def _blocks(side: DataFrame, is_place: bool) -> DataFrame:
     return side.select("id", F.explode(lanes).alias("l")).select("id", "l.lane", F.explode("l.keys").alias("key"))
 
 
-def _divided(side: DataFrame, hot: DataFrame, is_place: bool) -> DataFrame:
-    """(id, key): the records of hot blocks (id, lane, key), every block divided by a second attribute that a pair of it needs to
-    be accepted. site and grid: a near word, or one with the same beginning; of nameless records with an address the
-    cell. town: another own word, as links without address and position need all of them; names with one own word meet all.
-    """
-    keyed = hot.join(grows(side.select("id", "words", "telling", "locality", "longitude", "latitude")), "id")
-    words = F.col("words")
-    alike = F.transform(F.concat(_near_words(words), F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(3))))), lambda w: F.xxhash64(F.lit("word"), w))
-
-    def tagged(tag: str) -> Column:
-        return F.transform(_positions(not is_place), lambda c: F.xxhash64(F.lit(tag), c))
-
-    mine, theirs = ("nameless place", "nameless record") if is_place else ("nameless record", "nameless place")
-    nameless = F.when(F.size(words) == 0, F.concat(tagged(mine), tagged(theirs))).otherwise(tagged(theirs))
-    holds = lambda w: F.exists(_near_words(F.array(w)), lambda v: F.xxhash64(F.lit("lost record"), "locality", v).isin(F.col("key")) | F.xxhash64(F.lit("lost place"), "locality", v).isin(F.col("key")))
-    others = F.transform(_near_words(F.filter("telling", lambda w: ~holds(w))), lambda w: F.xxhash64(F.lit("other"), w))
-    one = [F.xxhash64(F.lit("one word of the " + ("record" if is_place else "place")))]
-    alone = [*one, F.xxhash64(F.lit("one word of the " + ("place" if is_place else "record")))]
-    single = F.when(F.size("telling") == 1, F.array(*alone)).otherwise(F.array(*one))
-    seconds = F.when(F.col("lane") == "site", F.concat(alike, nameless)).when(F.col("lane") == "grid", alike).otherwise(F.concat(others, single))
-    return keyed.select("id", "key", F.explode(F.array_distinct(seconds)).alias("second")).select("id", F.xxhash64("key", "second").alias("key")).distinct()
+def _parts(side: DataFrame, hot: DataFrame, is_place: bool) -> DataFrame:
+    """(id, key): the records of hot blocks (key, nu, np) in rows and columns of parts of about HOT pairs: a record is in one row
+    and all columns, a place in all rows and one column, so every pair of the block meets in just one part."""
+    width = max(1.0, HOT**0.5)
+    rows, columns = F.ceil(F.col("nu") / width), F.ceil(F.col("np") / width)
+    own, other = (columns, rows) if is_place else (rows, columns)
+    mine, others = F.pmod(F.xxhash64("id"), own), F.explode(F.sequence(F.lit(0).cast("bigint"), other - 1)).alias("o")
+    parted = side.join(grows(hot), "key").select("id", "key", mine.alias("m"), others)
+    return parted.select("id", F.xxhash64("key", *(("o", "m") if is_place else ("m", "o"))).alias("key"))
 
 
 def candidate_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -228,7 +216,7 @@ def candidate_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]
     it shares a block (_blocks): the address, or the surroundings and a word of the name, or the town and an own word where
     one has no address. By the weights of the evidence no other pair could be accepted: without a common address a link
     needs a name of 0.7 within NEAR, or one of 0.9 and no address and no position on one side. Blocks of more than HOT pairs
-    are divided (_divided), which leaves out nothing that could be accepted.
+    are divided among tasks (_parts); all their pairs are made, so the candidates don't depend on the size of a block.
     """
     records = cut(records)
     at = resolve(records.select(F.col("key").alias("record_id"), "address", "city", "postcode", "longitude", "latitude")).withColumnRenamed("record_id", "key")
@@ -250,12 +238,11 @@ def candidate_pairs(records: DataFrame) -> tuple[DataFrame, DataFrame, list[str]
 
     u, p = cut(_blocks(users, False)), cut(_blocks(places, True))
     shared = u.groupBy("key").agg(F.count("*").alias("nu")).join(grows(p.groupBy("key").agg(F.count("*").alias("np"))), "key")
-    shared = cut(shared.select("key", (F.col("nu") * F.col("np") > HOT).alias("hot")))
-    calm, hot = shared.where(~F.col("hot")).select("key"), shared.where("hot").select("key")
+    shared = cut(shared)
+    calm, hot = shared.where(F.col("nu") * F.col("np") <= HOT).select("key"), shared.where(F.col("nu") * F.col("np") > HOT)
     keys = u.join(grows(calm), "key").select("key", F.col("id").alias("u_id")).join(grows(p.select("key", F.col("id").alias("p_id"))), "key").select("u_id", "p_id")
     if not hot.isEmpty():
-        du = _divided(users, u.join(grows(hot), "key"), False).withColumnRenamed("id", "u_id")
-        dp = _divided(places, p.join(grows(hot), "key"), True).withColumnRenamed("id", "p_id")
+        du, dp = _parts(u, hot, False).withColumnRenamed("id", "u_id"), _parts(p, hot, True).withColumnRenamed("id", "p_id")
         keys = keys.unionByName(du.join(grows(dp), "key").select("u_id", "p_id"))
     keys = keys.distinct()
     told = ("words", "longitude", "latitude", "road", "number")

@@ -42,3 +42,13 @@ def test_no_side_of_a_p4_join_comes_to_the_driver(spark, plans):
 
 def test_no_side_of_a_p2_join_comes_to_the_driver(spark, plans):
     assert joined_without_broadcasts(plans, entity_match.match_entities(*tables(spark)))
+
+
+def test_links_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    def links():
+        return {(r.record_id, r.gers_id): r.confidence for r in entity_match.match_entities(*tables(spark)).collect()}
+
+    whole = links()
+    assert {("u0", "g9"), ("u9", "g0")} <= whole.keys()  # one address, unlike names
+    monkeypatch.setattr(entity_match, "HOT", 1)
+    assert links() == pytest.approx(whole, abs=1e-9)
